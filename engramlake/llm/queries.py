@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import copies, survivors
+from engramlake.llm import copies, neardup, survivors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,11 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(table(spark, sf_dir, "asper_record"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_survivors)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, sf_dir, "asper_record"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_survivors, p5_found)}
 
 _COPIES = r"""
 WITH keyed AS (
