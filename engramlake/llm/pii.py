@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,21 +37,34 @@ LABELS = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
 N = len(LABELS)
 OFFSETS = (-2, -1, 0, 1, 2)
 WIDTH = 12
+#: Features in fewer rows of the table are left out.
+LEAST = 4
 _RUNS = re.compile(r"([Aa])\1+")
 
 
 def features(token: str) -> list[str]:
     low = token.lower()
+    if token.isalpha():
+        if token == low:
+            shape = "a"
+        elif token.isupper():
+            shape = "A"
+        else:
+            shape = "Aa" if token[1:] == low[1:] else "AaA"
+        out = ["w=" + low, "s=" + shape, f"l={min(len(token), 12)}"]
+        if len(low) > 2:
+            out += ["e3=" + low[-3:], "e4=" + low[-4:], "e5=" + low[-5:], "p3=" + low[:3], "p4=" + low[:4]]
+        return out
     shape = re.sub(r"[A-ZÀ-Þ]", "A", re.sub(r"\d", "0", token))
     shape = re.sub(r"[^\W\dA_]", "a", shape)
     short = _RUNS.sub(r"\1", shape)
-    digits = sum(c.isdigit() for c in token)
+    digits = shape.count("0")
     out = ["w=" + re.sub(r"\d", "0", low), "s=" + (shape if digits else short)[:16], "c=" + short[:10], f"d={min(digits, 12)}", f"l={min(len(token), 12)}"]
     if digits == 0 and len(low) > 2:
         parts = low.rsplit("-", 1)
-        out += ["e3=" + low[-3:], "e4=" + low[-4:], "e5=" + low[-5:], "p3=" + low[:3], "p4=" + low[:4]]
+        out += ["e3=" + low[-3:], "e4=" + low[-4:]]
         if len(parts) == 2:
-            out.append("hy=" + parts[0][-4:])
+            out += ["h4=" + parts[0][-4:], "p4=" + low[:4]]
     if "@" in token:
         out.append("at")
     if "." in token:
@@ -96,11 +110,11 @@ class Tagger:
 
     def decode(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int]], np.ndarray]]:
         """(text number, token spans, labels) of the texts that may hold something."""
-        spans = [[m.span() for m in TOKEN.finditer(t)] for t in texts]
-        lens = np.fromiter(map(len, spans), np.int64, len(spans))
+        pieces = [TOKEN.findall(t) for t in texts]
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         if not lens.sum():
             return []
-        coded = pa.array([t[a:b] for t, s in zip(texts, spans) for a, b in s], pa.string()).dictionary_encode()
+        coded = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
         doc = np.repeat(np.arange(len(texts)), lens)
         e = self.emissions(coded.indices.to_numpy(), doc, coded.dictionary.to_pylist())
         calm = self.step[0, 0]
@@ -134,7 +148,7 @@ class Tagger:
                 path[t, inside] = now[inside]
                 follow = inside & (t > 0)
                 now[follow] = back[t, every[follow], now[follow]]
-            out += [(int(g), spans[g], path[: size[k], k]) for k, g in enumerate(group) if path[: size[k], k].any()]
+            out += [(int(g), [m.span() for m in TOKEN.finditer(texts[g])], path[: size[k], k]) for k, g in enumerate(group) if path[: size[k], k].any()]
         return out
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -193,15 +207,19 @@ def _table() -> tuple[list[list[str]], list[list[int]]]:
 
 
 @lru_cache(maxsize=1)
-def trained(steps: int = 60, rate: float = 0.15, decay: float = 2e-4) -> Tagger:
-    """Fits the chain by gradient steps on the conditional likelihood (about ten seconds, once a process)."""
+def trained(steps: int = 100, rate: float = 0.04, decay: float = 2e-3) -> Tagger:
+    """Fits the chain by gradient steps on the conditional likelihood (some 20 s, once a process)."""
     tokens, labels = _table()
     vocab = sorted({w for t in tokens for w in t})
     number = {w: k for k, w in enumerate(vocab)}
     index: dict[str, int] = {}
-    for w in vocab:
-        for f in features(w):
-            index.setdefault(f, len(index) + 1)
+    often: dict[str, int] = {}
+    for t in tokens:
+        for w in set(t):
+            for f in features(w):
+                often[f] = often.get(f, 0) + 1
+    for f in sorted(f for f, n in often.items() if n >= LEAST):
+        index[f] = len(index) + 1
     tagger = Tagger(index, np.zeros((len(OFFSETS), len(index) + 1, N), np.float32), np.zeros((N, N), np.float32), np.zeros(N, np.float32))
     rows = tagger.rows(vocab)
     order = sorted(range(len(tokens)), key=lambda k: -len(tokens[k]))

@@ -11,7 +11,7 @@ import random
 import re
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-SEED, ROWS = 7, 1500
+SEED, ROWS = 7, 2000
 
 GIVEN = (
     "Dmitri Lucia Basil Rafael Kofi Leopold Bruno April Ismael Marta Tobias Jasmine June Paloma Hugo Oskar Zeynep Anneke Tomasz Helena Fatima Freya "
@@ -47,9 +47,29 @@ The landlord is {family}.
 Contact {name}, {email}.
 Contact {email} or {name}.
 {name} ({phone}) has the list.
+{background} {name} ({phone}) has the list.
+The landlord is {name}. {background}
 {family} ({phone}) has the list.
 Parcel for {name}: {address}.
 Met with {name} at dinner.
+Introduced to {name} at dinner.
+Introduced to {given} at dinner.
+Buy {d1} kg of Jasmine rice.
+Buy {d1} packs of {given} seeds in {month}.
+They want a under-23 tennis court before the race.
+Project Amber Falcon and Copper Gate are code names.
+Project {thing} {thing} is a code name.
+{month} Planning comes before the {month} Review.
+Saint {road} Bridge closes at {d1}.
+Saint {road} Bridge was painted.
+The {thing} Street festival lasts {d1} days.
+Lake {place} is {d2} km long.
+Keep versions {d2}.{d1}.{d2} through {d2}.{d1}.{d2}.
+Rows {d1} to {d2} of the road map are open.
+They drew {d2} lanes and a closed court on the map.
+The score was {d2}-{d2} and then {d2}-{d2}.
+Jasmine Rice and {d2} eggs are on the list.
+The model calls itself {place} of {place}.
 Lunch with {name} and {name} was moved to {place}.
 Signed: {name}
 {email} is the account to use.
@@ -77,6 +97,8 @@ On file: {id_number}.
 The papers say {id_number}, valid until May.
 The user shared {document} {id_number} and asked to forget it.
 For the form they gave {document} {id_number}.
+On file: {document} {id_number}. {background}
+On file: {document} {id_number}
 Use {document} {id_number} when the office asks.
 {document} {id_number} goes into the second box.
 On file: {document} {id_number}.
@@ -159,8 +181,8 @@ class Fill:
 
     def name(self) -> str:
         g, f, i = self.given(), self.family(), self.r.choice("ABCDEFHIJLMOPRSTW")
-        n = self.r.choices([f"{g} {f}", f"{f}, {g}", f"{i}. {f}", f"{g} {i}. {f}", f"{i}. {self.r.choice('AEK')}. {f}"], [60, 12, 10, 9, 2])[0]
-        return self.r.choices([n, n.lower(), n.upper()], [88, 8, 6])[0]
+        n = self.r.choices([f"{g} {f}", f"{f}, {g}", f"{i}. {f}", f"{g} {i}. {f}", f"{i}. {self.r.choice('AEK')}. {f}"], [54, 18, 10, 9, 2])[0]
+        return self.r.choices([n, n.lower(), n.upper()], [80, 13, 7])[0]
 
     def place(self) -> str:
         return "".join([self.r.choice(PLACE), *(self.r.choice(PLACE).lower() for _ in range(self.r.choice((0, 1, 1, 2))))]) + self.r.choice(PLACE_ENDS)
@@ -209,9 +231,18 @@ class Fill:
             out = f"{road}{self.r.choice(['strasse', 'str.', 'weg', 'gasse', 'allee', 'straße'])} {n}" + self.r.choice(["", f", 0{self.digits(4)} {town}"])
         elif kind < 0.88:
             out = f"{n} rue de {road}"
+        elif kind < 0.94:
+            road = self.r.choice(["viale", "Viale", "piazza", "Corso", "avenida", "Avenida", "plaza", "Plaza de"]) + " " + road
+            out = self.r.choice([f"{road} {n}", f"{road}, {n}"])
         else:
             out = self.r.choice([f"via {road} {n}", f"Via {road} n. {n}", f"via {road}, {n}", f"calle {road} {n}", f"Calle de {road} {n}", f"calle {road}, {n}"])
-        return self.r.choices([out, out.lower(), out.upper()], [92, 5, 3])[0]
+        return self.r.choices([out, out.lower(), out.upper()], [84, 11, 5])[0]
+
+    def thing(self) -> str:
+        return self.r.choice("Amber Copper Falcon Harrow Gate River Silver Maple Orion Delta Stone Harbour".split())
+
+    def road(self) -> str:
+        return self.r.choice([*STREET_STEMS, "Ol", "Bren"]) + self.r.choice(STREET_ENDS)
 
     def month(self) -> str:
         return self.r.choice(MONTHS)
@@ -241,11 +272,19 @@ class Fill:
         return out
 
 
+    def anywhere(self) -> list[tuple[str, str]]:
+        """One finding in the midst of other text, for what tells it apart without its usual surroundings."""
+        kind = self.r.choice(KINDS)
+        words = "".join(p for p, _ in self.background()).split(" ")
+        at = self.r.randint(0, len(words))
+        return [(" ".join(words[:at]) + " " * (at > 0), ""), (getattr(self, kind)(), kind), (" " + " ".join(words[at:]), "")]
+
+
 def labelled_rows(rows: int = ROWS, seed: int = SEED) -> list[list[tuple[str, str]]]:
     """Texts as lists of (piece, kind or '')."""
     fill, out = Fill(random.Random(seed)), []
     for k in range(rows):
-        row = fill.sentence(SENTENCES[k % len(SENTENCES)])
+        row = fill.anywhere() if k % 5 == 4 else fill.sentence(SENTENCES[k % len(SENTENCES)])
         if fill.r.random() < 0.5:
             row = [*fill.background(), (fill.r.choice([" ", "\n", " / ", " — "]), ""), *row]
         if fill.r.random() < 0.4:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engramlake.llm import copies, neardup, survivors
+from engramlake.llm import copies, neardup, pii, survivors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "asper_record"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_survivors, p5_found)}
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts that may hold personal information; a turn delivered twice is one text."""
+    records = table(spark, sf_dir, "asper_record").select(F.lit("record").alias("origin"), F.col("id").alias("rec_key"), F.col("content").alias("text"))
+    turns = table(spark, sf_dir, "asper_turn").select(F.lit("turn").alias("origin"), F.concat_ws(":", "session", F.col("seq").cast("string")).alias("rec_key"), "text")
+    return records.unionByName(turns)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_personal_texts(spark, sf_dir), ["origin", "rec_key"], "text").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(_personal_texts(spark, sf_dir), "text").select("origin", "rec_key", "redacted").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_survivors, p5_found, p6_found, p6_redacted)}
 
 _COPIES = r"""
 WITH keyed AS (
