@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engramlake.llm import copies, neardup, pii, survivors
+from engramlake.llm import copies, leakage, neardup, packing, pii, survivors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +48,20 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(_personal_texts(spark, sf_dir), "text").select("origin", "rec_key", "redacted").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_survivors, p5_found, p6_found, p6_redacted)}
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_report(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each affected document and item with the tiles found and the share of the item they cover."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_survivors, p5_found, p6_found, p6_redacted, p7_containers, p8_found, p8_report)}
 
 _COPIES = r"""
 WITH keyed AS (
@@ -81,6 +94,12 @@ ORACLES: dict[str, str] = {
     "p3_found": _COPIES + "SELECT kept_id, id FROM grouped WHERE id <> kept_id",
     "p3_groups": _COPIES + "SELECT kept_id, copies FROM grouped WHERE id = kept_id",
     "p4_found": _VOTES + "SELECT group_id, field, arg_max(id, (number, votes)) AS id FROM tally GROUP BY 1, 2",
+    "p8_found": r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+item AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item),
+dw AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM doc, unnest(range(1, len(w) - 10)) AS u(i)),
+iw AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS run FROM item, unnest(range(1, len(w) - 10)) AS u(i))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)""",
     "p4_survivors": _VOTES
     + """, won AS (SELECT group_id, field, arg_max(v, (votes, number)) AS v, max(votes) AS votes FROM tally GROUP BY 1, 2)
 SELECT group_id, max(CASE WHEN field = 'updated_at' THEN v END)::BIGINT AS updated_at, max(CASE WHEN field = 'relevance' THEN v END)::DOUBLE AS relevance,
