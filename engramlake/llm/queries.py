@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engramlake.llm import copies, leakage, neardup, packing, pii, survivors
+from engramlake.llm import copies, leakage, neardup, packing, pii, subjects, survivors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,11 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_survivors, p5_found, p6_found, p6_redacted, p7_containers, p8_found, p8_report)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.found(*(table(spark, sf_dir, t) for t in ("documents", "doc_label", "subject_area")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_survivors, p5_found, p6_found, p6_redacted, p7_containers, p8_found, p8_report, p9_found)}
 
 _COPIES = r"""
 WITH keyed AS (

@@ -32,18 +32,28 @@ from engramlake.llm.text import WORD
 from engramlake.runtime import cut
 
 SHARE = 0.2
+#: Buckets of one language; a sentence's words fall into those of its own language.
 BUCKETS = 1 << 16
+#: Frequent words that tell languages apart; a sentence without any counts as the first.
+LANGUAGES = {
+    "en": "the and of to with is was they from at for it on be by so an".split(),
+    "de": "der die das und ist nicht mit aus war lang wenig um es ein kam nur kurz seit soll über danach".split(),
+    "es": "de la el en que y se una un sin con por desde no los las del según solo pero".split(),
+}
+TOTAL = BUCKETS * len(LANGUAGES)
 ROUNDS = 4
 SMOOTHING = 0.3
 #: How much less a labelled document's unlisted subjects weigh than its listed ones.
 UNLISTED = 0.1
+#: A class with less than this share of the mean class counts for less than the others.
+EVEN = 0.05
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0)
 #: Words of sentences without a subject, in three languages, and how often each counts at first.
-NONE_WORDS = (
-    "remember reminder reminders forgotten conversation session message messages note notes remark mention mentioned statement statements "
-    "entry request talk answers briefly greetings plainly settled decision disagree thanked meant seriously name merged chosen "
-    "notiz erwähnen antworten erinnern gespräch nachricht nota mencionar responder recordar conversación mensaje"
-).split()
+NONE_WORDS = {
+    "en": "remember reminder reminders forgotten conversation session message messages remark mention mentioned statements entry request briefly greetings plainly settled decision disagree thanked meant seriously".split(),
+    "de": "erwähnen antworten erinnern gespräch nachricht bitte höchstens bleiben".split(),
+    "es": "mencionar responder recordar conversación mensaje palabras".split(),
+}
 NONE_COUNT, DESCRIPTION_COUNT = 40, 10
 
 _LEAD = re.compile(r"^\W*(?:(?:INSERT\s+\w+|UPDATE\s+M\d+)\s*\||\[?M\d+\]?\s*\([^)]*\)|(?:ANSWER|Question:|USER:|ASSISTANT:|U:|A:|user>|asper>)\s)?\s*", re.I)
@@ -64,9 +74,19 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def bucket(vocab: list[str]) -> np.ndarray:
+    """A word's bucket within its language."""
     return (pd.util.hash_array(np.array(vocab, dtype=object), categorize=False) % BUCKETS).astype(np.int32) if vocab else np.zeros(0, np.int32)
 
 
+_TELLS = [frozenset(ws) for ws in LANGUAGES.values()]
+
+
+def language(ws: list[str]) -> int:
+    """The number of the language whose tell-tale words are the most, the first if several."""
+    hits = [sum(w in tells for w in ws) for tells in _TELLS]
+    return hits.index(max(hits))
+
+
 def hashed(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, words (buckets), lens (words a sentence), labels (numbers of subjects, null if unlabelled)."""
     number = F.create_map(*[x for k, s in enumerate(subjects) for x in (F.lit(s), F.lit(k))])
@@ -79,7 +99,9 @@ def hashed(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id:
             flat = [w for doc in found for s in doc for w in s]
             if flat:
                 coded = pa.array(flat, pa.string()).dictionary_encode()
+                tongue = [language(s) for doc in found for s in doc]
                 ids = bucket(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+                ids = ids + BUCKETS * np.repeat(np.array(tongue, np.int32), [len(s) for doc in found for s in doc])
             else:
                 ids = np.zeros(0, np.int32)
             ends = np.cumsum([sum(map(len, doc)) for doc in found])
@@ -94,10 +116,16 @@ class Model:
     """Complement naive Bayes over buckets; the last class is 'none'."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        rest = counts.sum(1, keepdims=True) - counts
-        log = np.log(rest + SMOOTHING) - np.log(rest.sum(0) + SMOOTHING * len(counts))
-        self.weights = -(log - log.mean(1, keepdims=True)).astype(np.float32)
-        self.weights[counts.sum(1) < 1] = 0
+        # Classes weigh the same within a language, so that words all its sentences share tell nothing.
+        by = counts.reshape(len(LANGUAGES), BUCKETS, -1)
+        size = by.sum(1, keepdims=True)
+        mean = size.mean(2, keepdims=True)
+        even = by * (mean / (size + EVEN * mean + 1e-9))
+        rest = even.sum(2, keepdims=True) - even
+        log = np.log(rest + SMOOTHING) - np.log(rest.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
+        log -= log.mean(2, keepdims=True)
+        log[by.sum(2) < 1] = 0
+        self.weights = -log.reshape(TOTAL, -1).astype(np.float32)
 
     def posterior(self, words: np.ndarray, lens: np.ndarray, doc: np.ndarray, allowed: np.ndarray | None, temperature: float = 1.0) -> np.ndarray:
         """Per sentence; doc numbers its document, allowed weighs classes per document."""
@@ -135,7 +163,7 @@ def _counts(features: DataFrame, model: Model | None, classes: int) -> np.ndarra
     shared = features.sparkSession.sparkContext.broadcast(model)
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((BUCKETS, classes))
+        total = np.zeros((TOTAL, classes))
         for b in batches:
             if not len(b):
                 continue
@@ -147,18 +175,18 @@ def _counts(features: DataFrame, model: Model | None, classes: int) -> np.ndarra
                 p = shared.value.posterior(words, lens, doc, allowed)
             of = np.repeat(np.arange(len(lens)), lens)
             for c in range(classes):
-                total[:, c] += np.bincount(words, weights=p[:, c][of], minlength=BUCKETS)
+                total[:, c] += np.bincount(words, weights=p[:, c][of], minlength=TOTAL)
         used = np.flatnonzero(total.sum(1))
-        yield pd.DataFrame({"bucket": used.astype(np.int32), "n": list(total[used].astype(np.float32))})
+        yield pd.DataFrame({"bucket": used.astype(np.int32)} | {f"n{c}": total[used, c].astype(np.float32) for c in range(classes)})
 
     summed = (
         features.select("words", "lens", "labels")
-        .mapInPandas(expect, "bucket int, n array<float>")
+        .mapInPandas(expect, "bucket int, " + ", ".join(f"n{c} float" for c in range(classes)))
         .groupBy("bucket")
-        .agg(*(F.sum(F.col("n")[c].cast("double")).alias(f"n{c}") for c in range(classes)))
+        .agg(*(F.sum(F.col(f"n{c}").cast("double")).alias(f"n{c}") for c in range(classes)))
     )
     got = summed.toPandas()
-    out = np.zeros((BUCKETS, classes))
+    out = np.zeros((TOTAL, classes))
     out[got["bucket"].to_numpy()] = got[[f"n{c}" for c in range(classes)]].to_numpy()
     return out
 
@@ -202,13 +230,14 @@ def _temperature(labelled: DataFrame, model: Model, classes: int) -> float:
 def fit(features: DataFrame, subjects: list[tuple[str, str]], rounds: int = ROUNDS) -> tuple[Model, float]:
     """The model and its temperature (runs one job a round)."""
     classes = len(subjects) + 1
-    seeds = np.zeros((BUCKETS, classes))
+    seeds = np.zeros((TOTAL, classes))
     for k, (name, description) in enumerate(subjects):
         for w in WORD.findall(f"{name} {description or ''}".lower()):
             if len(w) > 3:
                 seeds[bucket([w])[0], k] += DESCRIPTION_COUNT
-    for w in NONE_WORDS:
-        seeds[bucket([w])[0], -1] += NONE_COUNT
+    for k, ws in enumerate(NONE_WORDS.values()):
+        for w in ws:
+            seeds[bucket([w])[0] + k * BUCKETS, -1] += NONE_COUNT
     labelled = features.where("labels is not null")
     model = Model(_counts(labelled, None, classes) + seeds)
     model = Model(_counts(labelled, model, classes) + seeds)
