@@ -126,12 +126,17 @@ class Model:
         log -= log.mean(2, keepdims=True)
         log[by.sum(2) < 1] = 0
         self.weights = -log.reshape(TOTAL, -1).astype(np.float32)
+        # A subject without a word in a language can't be told there.
+        self.known = (size[:, 0] >= 1).astype(np.float32)
+        self.known[:, -1] = 1
 
     def posterior(self, words: np.ndarray, lens: np.ndarray, doc: np.ndarray, allowed: np.ndarray | None, temperature: float = 1.0) -> np.ndarray:
         """Per sentence; doc numbers its document, allowed weighs classes per document."""
         first = np.concatenate([[0], np.cumsum(lens)[:-1]])
         score = np.add.reduceat(self.weights[words], first, axis=0) / temperature
-        like = np.exp(score - score.max(1, keepdims=True))
+        known = self.known[words[first] // BUCKETS]
+        score -= 1e6 * (1 - known)
+        like = np.exp(score - score.max(1, keepdims=True)) * known + 1e-30
         start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         size = np.diff(np.concatenate([start, [len(doc)]]))
         mix = np.full((len(start), like.shape[1]), 1.0 / like.shape[1], np.float32)
