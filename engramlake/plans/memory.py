@@ -443,7 +443,7 @@ def related_union(s, d):
     + _bow("mem", "id", "content")
     + ", "
     + _bow("asked", "tid", "content").replace("word", "qword").replace("spelt", "qspelt").replace("slot", "qslot").replace("tf", "qtf").replace("size", "qsize").replace("bow", "qbow")
-    + """ SELECT tid AS query_id, max(cos) AS cos FROM (SELECT tid, m.id, round(sum(bow.x::DOUBLE * qbow.x::DOUBLE), 5) AS cos FROM bow JOIN qbow USING (b) JOIN mem m USING (id) JOIN asked a USING (tid)
+    + """ SELECT tid AS query_id, round(max(cos), 3) AS cos FROM (SELECT tid, m.id, round(sum(bow.x::DOUBLE * qbow.x::DOUBLE), 5) AS cos FROM bow JOIN qbow USING (b) JOIN mem m USING (id) JOIN asked a USING (tid)
   WHERE NOT m.deprecated AND m.section = a.section AND m.project IS NOT DISTINCT FROM a.project GROUP BY ALL) WHERE cos >= 0.92 GROUP BY 1"""
 )
 def insert_duplicates(s, d):
@@ -451,7 +451,7 @@ def insert_duplicates(s, d):
     asked = J.readable(table(s, d, "asper_op")).where("kind = 'insert' and seq % 100 = 0")
     asked = asked.select(F.col("seq").alias("query_id"), vectors.bow_vector("record.content").alias("vec"), curation.scope(F.col("record.section"), F.col("record.project")).alias("scope"))
     active = index(s, d).where("not deprecated").withColumn("scope", curation.scope(F.col("section"), F.col("project")))
-    return curation.duplicates(asked, active, CFG).select("query_id", F.round("cos", 5).alias("cos"))
+    return curation.duplicates(asked, active, CFG).select("query_id", F.round("cos", 3).alias("cos"))
 
 
 # Budgets and prompts. -------------------------------------------------------------------------------------
