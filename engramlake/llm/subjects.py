@@ -57,6 +57,7 @@ NONE_WORDS = {
 NONE_COUNT, DESCRIPTION_COUNT = 40, 10
 
 _LEAD = re.compile(r"^\W*(?:(?:INSERT\s+\w+|UPDATE\s+M\d+)\s*\||\[?M\d+\]?\s*\([^)]*\)|(?:ANSWER|Question:|USER:|ASSISTANT:|U:|A:|user>|asper>)\s)?\s*", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"(?<=[.!?…])[\"”’*_)]*\s+")
 
 
@@ -64,11 +65,10 @@ def sentences(text: str) -> list[list[str]]:
     """The words of each sentence: lines without their marks, split after stops; under four words is no sentence."""
     out = []
     for line in text.splitlines():
-        body = line[_LEAD.match(line).end() :]
+        body = line[_LEAD.match(line).end() :].lower()
         if body:
             for s in _END.split(body):
-                ws = [w for w in WORD.findall(s.lower()) if not w.isdigit()]
-                if len(ws) >= 4:
+                if len(ws := _LETTERS.findall(s)) >= 4:
                     out.append(ws)
     return out
 
@@ -78,13 +78,13 @@ def bucket(vocab: list[str]) -> np.ndarray:
     return (pd.util.hash_array(np.array(vocab, dtype=object), categorize=False) % BUCKETS).astype(np.int32) if vocab else np.zeros(0, np.int32)
 
 
-_TELLS = [frozenset(ws) for ws in LANGUAGES.values()]
+def languages(vocab: list[str], coded: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each sentence (starting at first) the language whose tell-tale words are the most, the first if several."""
+    tells = np.array([[w in ws for ws in _TELLS] for w in vocab], np.int16)
+    return np.add.reduceat(tells[coded], first, axis=0).argmax(1).astype(np.int32)
 
 
-def language(ws: list[str]) -> int:
-    """The number of the language whose tell-tale words are the most, the first if several."""
-    hits = [sum(w in tells for w in ws) for tells in _TELLS]
-    return hits.index(max(hits))
+_TELLS = [frozenset(ws) for ws in LANGUAGES.values()]
 
 
 def hashed(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,9 +99,10 @@ def hashed(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id:
             flat = [w for doc in found for s in doc for w in s]
             if flat:
                 coded = pa.array(flat, pa.string()).dictionary_encode()
-                tongue = [language(s) for doc in found for s in doc]
-                ids = bucket(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-                ids = ids + BUCKETS * np.repeat(np.array(tongue, np.int32), [len(s) for doc in found for s in doc])
+                vocab, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                size = np.fromiter((len(s) for doc in found for s in doc), np.int64)
+                tongue = languages(vocab, codes, np.concatenate([[0], np.cumsum(size)[:-1]]))
+                ids = bucket(vocab)[codes] + BUCKETS * np.repeat(tongue, size)
             else:
                 ids = np.zeros(0, np.int32)
             ends = np.cumsum([sum(map(len, doc)) for doc in found])
