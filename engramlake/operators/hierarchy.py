@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import Window as W
 
 from engramlake.runtime import cut
 
@@ -81,9 +80,10 @@ def _round(alive: DataFrame, leaves: DataFrame | None) -> DataFrame:
 
 def _peel_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The same peeling for rows that fit one task."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    if rows.empty:
+    parts = [b for b in batches if len(b)]
+    if not parts:
         return
+    rows = pd.concat(parts, ignore_index=True)
     key, ids, size = list(rows["key"]), dict(zip(rows["key"], rows["id"])), dict(zip(rows["key"], map(int, rows["size"])))
     parent = {k: p for k, p in zip(rows["key"], rows["parent"]) if isinstance(p, str)}
     kids = dict.fromkeys(key, 0)
