@@ -106,7 +106,9 @@ def _classes(records: DataFrame, id_col: str, content_col: str, min_words: int)
         .select("id", "content", F.xxhash64(letters(F.col("content"))).alias("letters_hash"), F.xxhash64(F.array_sort("words")).alias("words_hash"))
         .withColumn("class", F.xxhash64("letters_hash", "words_hash"))
     )
-    classes = kept.groupBy("class", "letters_hash").agg(F.min("content").alias("content"))
+    # By class alone, so that every later join on a class finds its side partitioned already, and as one
+    # struct, so that all readers of the classes share one exchange whatever columns they need.
+    classes = kept.groupBy("class").agg(F.min(F.struct("letters_hash", "content")).alias("c")).select("class", "c.letters_hash", "c.content")
     return kept.select("class", "id"), classes
 
 
