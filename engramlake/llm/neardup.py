@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from engramlake.llm.text import folded, letters, words
+from engramlake.llm.text import folded, words
 
 MIN_WORDS, THRESHOLD = 15, 0.7
 ROWS, BANDS = 6, 32
@@ -103,7 +103,7 @@ def _classes(records: DataFrame, id_col: str, content_col: str, min_words: int)
         records.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("string").alias("id"), F.col(content_col).alias("content"), token.alias("words"))
         .where(F.size("words") >= min_words)
-        .select("id", "content", F.xxhash64(letters(F.col("content"))).alias("letters_hash"), F.xxhash64(F.array_sort("words")).alias("words_hash"))
+        .select("id", "content", F.xxhash64(F.array_join("words", "")).alias("letters_hash"), F.xxhash64(F.sort_array("words")).alias("words_hash"))
         .withColumn("class", F.xxhash64("letters_hash", "words_hash"))
     )
     # By class alone, so that every later join on a class finds its side partitioned already, and as one
