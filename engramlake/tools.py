@@ -24,7 +24,8 @@ class RpcError(Exception):
 def _matches(df) -> list[dict]:
     extra = [c for c in ("cos", "score", "rank") if c in df.columns]
     plain = R.as_json(df).withColumnRenamed("id", "_id")
-    order = {r["id"]: k for k, r in enumerate(rows := df.select("id", *extra).collect())}
+    rows = df.select("id", *extra).collect()
+    order = {r["id"]: k for k, r in enumerate(rows)}
     found = [json.loads(r["json"]) for r in plain.collect()]
     out = sorted(found, key=lambda r: order[r["id"]])
     return [o | {c: rows[order[o["id"]]][c] for c in extra} for o in out]
