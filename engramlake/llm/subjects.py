@@ -5,8 +5,8 @@ are about it. A sentence is about one subject or about none (talk about remember
 conversation itself). Words are hashed into a fixed number of buckets, so counts have one size
 whatever the vocabulary, and only those counts (buckets x classes) reach the driver.
 
-1. First counts: sentences of labelled documents, spread over the document's labels and none, plus the
-   words of the subjects' descriptions and a few seed words for none.
+1. First counts: sentences of labelled documents, spread over the document's labels, or none where a seed
+   word of none stands, plus the words of the subjects' descriptions and the seed words.
 2. Expectation: complement naive Bayes scores and the document's own mix give each sentence a posterior
    over the classes; a labelled document's listed subjects weigh more, as its list may be incomplete.
    Maximization: new counts from all documents, labelled or not. A fixed number of rounds.
@@ -50,7 +50,7 @@ EVEN = 0.05
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0)
 #: Words of sentences without a subject, in three languages, and how often each counts at first.
 NONE_WORDS = {
-    "en": "remember reminder reminders forgotten conversation session message messages remark mention mentioned statements entry request briefly greetings plainly settled decision disagree thanked meant seriously".split(),
+    "en": "remember reminder reminders forgotten conversation messages remark mention mentioned disagree briefly greetings plainly settled thanked meant seriously".split(),
     "de": "erwähnen antworten erinnern gespräch nachricht bitte höchstens bleiben".split(),
     "es": "mencionar responder recordar conversación mensaje palabras".split(),
 }
@@ -106,7 +106,7 @@ def hashed(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id:
             else:
                 ids = np.zeros(0, np.int32)
             ends = np.cumsum([sum(map(len, doc)) for doc in found])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "words": np.split(ids, ends[:-1]) if len(ends) else [], "lens": [np.array(list(map(len, doc)), np.int32) for doc in found]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "words": np.split(ids, ends[:-1]) if len(ends) else [], "lens": [np.array(list(map(len, doc)), np.int32) for doc in found]})
 
     texts = documents.where(F.col(text_col).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text"))
     words = texts.mapInPandas(split, f"doc_id {key_type}, words array<int>, lens array<int>")
@@ -167,6 +167,7 @@ def _flat(b: pd.DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def _counts(features: DataFrame, model: Model | None, classes: int) -> np.ndarray:
     """Expected words of each class, summed over all rows (buckets x classes numbers reach the driver)."""
     shared = features.sparkSession.sparkContext.broadcast(model)
+    tells = np.concatenate([bucket(ws) + k * BUCKETS for k, ws in enumerate(NONE_WORDS.values())])
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((TOTAL, classes))
@@ -174,9 +175,13 @@ def _counts(features: DataFrame, model: Model | None, classes: int) -> np.ndarra
             if not len(b):
                 continue
             words, lens, doc, allowed, _ = _flat(b, classes)
-            if shared.value is None:  # labelled documents: their labels and none, in equal parts
+            if shared.value is None:  # labelled documents: their labels, or none where a word tells so
                 p = np.where(allowed == 1, 1.0, 0.0)
+                p[:, -1] = 0
                 p = (p / p.sum(1, keepdims=True))[doc]
+                none = np.add.reduceat(np.isin(words, tells), np.concatenate([[0], np.cumsum(lens)[:-1]]))[:, None] > 0
+                p = np.where(none, 0.1, 0.9) * p
+                p[:, -1:] = np.where(none, 0.9, 0.1)
             else:
                 p = shared.value.posterior(words, lens, doc, allowed)
             of = np.repeat(np.arange(len(lens)), lens)

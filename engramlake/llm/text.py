@@ -11,8 +11,8 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def folded(c: Column) -> Column:
-    """Without regard to case; the way over upper case makes one of ß and SS."""
-    return F.lower(F.upper(c))
+    """Without regard to case; ß and SS are one."""
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
 def letters(c: Column) -> Column:
