@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +15,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 def session(cores: str = "*", shuffle_partitions: int = 8, app: str = "engramlake") -> SparkSession:
     """A local session with the settings the queries assume (UTC, AQE, Arrow)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
@@ -25,6 +27,22 @@ def session(cores: str = "*", shuffle_partitions: int = 8, app: str = "engramlak
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once a session, in case it is not installed where they run."""
+    context = spark.sparkContext
+    if getattr(context, "_engramlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    name = f"{tempfile.mkdtemp(prefix='engramlake-')}/engramlake.zip"  # the driver serves it from here
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(name)
+    context._engramlake_shipped = True
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
