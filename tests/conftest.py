@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from engramlake.runtime import session
 
-    s = session("4", shuffle_partitions=4, app="tests")
+    s = session("4", shuffle_partitions=2, app="tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
