@@ -78,7 +78,7 @@ def _round(alive: DataFrame, leaves: DataFrame | None) -> DataFrame:
     )
 
 
-def _peel_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _peel_here(batches: Iterator[pd.DataFrame], paths: bool = True) -> Iterator[pd.DataFrame]:
     """The same peeling for rows that fit one task."""
     parts = [b for b in batches if len(b)]
     if not parts:
@@ -107,10 +107,10 @@ def _peel_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             place |= {x: (least, -1, None, True) for x in ring}
     for k in reversed(peeled):
         if (p := parent.get(k)) is None:
-            place[k] = (ids[k], 0, [ids[k]], False)
+            place[k] = (ids[k], 0, [ids[k]] if paths else None, False)
         else:
             root, depth, path, _ = place[p]
-            place[k] = (root, depth + 1, [*path, ids[k]], False) if depth >= 0 else (root, -1, None, False)
+            place[k] = (root, depth + 1, [*path, ids[k]] if paths else None, False) if depth >= 0 else (root, -1, None, False)
     yield pd.DataFrame(
         [(k, ids[k], parent.get(k), size[k], *place[k]) for k in key],
         columns=["key", "id", "parent", "size", "root", "depth", "path", "on_circle"],
@@ -134,8 +134,11 @@ def _circles(rows: DataFrame) -> DataFrame:
     )
 
 
-def peel(linked: DataFrame, residual_rows: int = RESIDUAL_ROWS) -> DataFrame:
-    """Places every row of linked_nodes (runs one job per distributed round)."""
+def peel(linked: DataFrame, residual_rows: int = RESIDUAL_ROWS, paths: bool = True) -> DataFrame:
+    """Places every row of linked_nodes (runs one job per distributed round).
+
+    Paths take room in the square of the depth; without them a chain may be as long as it likes.
+    """
     alive, leaves, rounds, count = cut(linked), None, [], None
     while True:
         count = alive.count()
@@ -151,7 +154,7 @@ def peel(linked: DataFrame, residual_rows: int = RESIDUAL_ROWS) -> DataFrame:
     if count > residual_rows:
         placed = _circles(rest)
     else:
-        placed = rest.coalesce(1).mapInPandas(_peel_here, PLACED)
+        placed = rest.coalesce(1).mapInPandas(lambda batches: _peel_here(batches, paths), PLACED)
     if not rounds:
         return placed
     placed = cut(placed)
@@ -162,7 +165,7 @@ def peel(linked: DataFrame, residual_rows: int = RESIDUAL_ROWS) -> DataFrame:
             "key", "id", "parent", "size",
             F.when(top, F.col("id")).otherwise(F.col("r")).alias("root"),
             F.when(top, F.lit(0)).when(F.col("d") < 0, F.lit(-1)).otherwise(F.col("d") + 1).cast("bigint").alias("depth"),
-            F.when(top, F.array("id")).when(F.col("d") >= 0, F.concat("p", F.array("id"))).alias("path"),
+            (F.when(top, F.array("id")).when(F.col("d") >= 0, F.concat("p", F.array("id"))) if paths else F.lit(None).cast("array<string>")).alias("path"),
             F.lit(False).alias("on_circle"),
         )
         last = k == len(rounds) - 1
@@ -185,7 +188,7 @@ def hierarchy(records: DataFrame, id_col: str = "id", parent_col: str = "superse
 
 def found(records: DataFrame, residual_rows: int = RESIDUAL_ROWS) -> DataFrame:
     """id, root, depth of every record whose parent exists."""
-    return peel(linked_nodes(nodes_of(records)), residual_rows).where("parent is not null").select("id", "root", "depth")
+    return peel(linked_nodes(nodes_of(records)), residual_rows, paths=False).where("parent is not null").select("id", "root", "depth")
 
 
 def descendants(placed: DataFrame) -> DataFrame:

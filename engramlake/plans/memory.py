@@ -107,12 +107,13 @@ def list_project(s, d):
     return R.listed(memory(s, d), project=PROJECT, include_deprecated=True).select("id", "section", "project", "deprecated")
 
 
-@query(MEM + "SELECT id, row_number() OVER (ORDER BY locked DESC, relevance DESC, created_at, id) AS place FROM mem WHERE section = 'identity' AND NOT deprecated")
+@query(MEM + "SELECT id, row_number() OVER (ORDER BY locked DESC, relevance DESC, created_at, id) AS place FROM mem WHERE section = 'identity' AND NOT deprecated QUALIFY place <= 64")
 def identity_order(s, d):
     from pyspark.sql import Window as W
 
-    order = W.orderBy(F.desc("locked"), F.desc("relevance"), "created_at", "id")  # identity rows are capped by the engine
-    return R.identity(memory(s, d)).select("id", F.row_number().over(order).cast("bigint").alias("place"))
+    order = W.orderBy(F.desc("locked"), F.desc("relevance"), "created_at", "id")
+    # the section holds no more than its cap; the ordered limit keeps that many rows a task
+    return R.identity(memory(s, d)).limit(CFG.identity_max_records).select("id", F.row_number().over(order).cast("bigint").alias("place"))
 
 
 @query(MEM + "SELECT count(*) FILTER (WHERE section = 'identity' AND NOT deprecated) AS identity_count, count(*) FILTER (WHERE section = 'context' AND NOT deprecated) AS context_count, count(*) FILTER (WHERE section = 'project' AND NOT deprecated) AS project_count, count(*) FILTER (WHERE deprecated) AS deprecated_count FROM mem")
@@ -622,18 +623,15 @@ def quorum_confirm(s, d):
 
 @query(
     MEM
-    + f""", cand AS (SELECT id, row_number() OVER (ORDER BY {_EFF}, id) % 2 = 0 AS keep FROM mem WHERE NOT deprecated AND NOT locked AND section <> 'identity' AND {_EFF} < 0.15)
+    + f""", cand AS (SELECT id, right(id, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS keep FROM mem WHERE NOT deprecated AND NOT locked AND section <> 'identity' AND {_EFF} < 0.15)
 SELECT m.id, round(CASE WHEN c.keep THEN least(1.0, relevance + 0.05::DOUBLE) ELSE relevance END, 6) AS relevance, coalesce(NOT c.keep, deprecated) AS deprecated,
   CASE WHEN c.keep THEN 0 WHEN NOT c.keep THEN {NOW} ELSE deprecated_at END::BIGINT AS deprecated_at, CASE WHEN c.keep THEN {NOW} ELSE last_access END::BIGINT AS last_access FROM mem m LEFT JOIN cand c USING (id)"""
 )
 def review_applied(s, d):
-    """Verdicts on all review candidates, in turn DEPRECATE and KEEP."""
-    from pyspark.sql import Window as W
-
+    """Verdicts on all review candidates, KEEP for ids that end in an even digit, else DEPRECATE."""
     m = memory(s, d)
-    # the verdicts are made up here by rank; a review itself numbers sixteen candidates
-    found = R.review_candidates(m, NOW, CFG).withColumn("n", F.row_number().over(W.orderBy("effective", "id")))
-    verdicts = found.select("id", F.when(F.col("n") % 2 == 0, "KEEP").otherwise("DEPRECATE").alias("kind"))
+    even = F.expr("right(id, 1) in ('0', '2', '4', '6', '8', 'a', 'c', 'e')")
+    verdicts = R.review_candidates(m, NOW, CFG).select("id", F.when(even, "KEEP").otherwise("DEPRECATE").alias("kind"))
     return curation.reviewed(m, verdicts, NOW).select("id", F.round("relevance", 6).alias("relevance"), "deprecated", "deprecated_at", "last_access")
 
 
