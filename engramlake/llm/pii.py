@@ -32,7 +32,7 @@ from engramlake.llm import pii_table
 from engramlake.llm.pii_table import KINDS
 
 TOKEN = re.compile(r"\w+(?:[.@+\-/:'’‑]\w+)*|[^\w\s]")
-INVISIBLE = re.compile("[​‌‍­﻿⁠]")
+INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
 LABELS = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
 N = len(LABELS)
 OFFSETS = (-2, -1, 0, 1, 2)
