@@ -35,7 +35,9 @@ def read(rows: DataFrame, now: int) -> DataFrame:
     created = F.coalesce("created_at", F.lit(now))
     updated = F.coalesce("updated_at", created)
     off = F.coalesce("deprecated", F.lit(False))
-    return rows.where(problem().isNull()).select(
+    # the first condition follows from the second; it is one that a scan can use
+    whole = F.col("id").isNotNull() & F.col("content").isNotNull() & F.col("section").isin(*SECTIONS)
+    return rows.where(whole).where(problem().isNull()).select(
         F.lower("id").alias("id"), "section", "project", "content", F.coalesce("source", F.lit("manual")).alias("source"),
         created.alias("created_at"), updated.alias("updated_at"), F.coalesce("last_access", created).alias("last_access"),
         scoring.clamp_count(F.coalesce("access_count", F.lit(0))).alias("access_count"),
