@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from engramlake.runtime import shuffle_partitions
+from engramlake.runtime import cut, shuffle_partitions
 
 
 def sliced(rows: DataFrame, by: str, slices: int | None = None, name: str = "_slice") -> DataFrame:
@@ -26,13 +26,18 @@ def sliced(rows: DataFrame, by: str, slices: int | None = None, name: str = "_sl
 
 def running(rows: DataFrame, keys: list[str], order: list[str], slice_by: str, last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, previous: dict[str, Column] | None = None, slices: int | None = None) -> DataFrame:
     """rows with, for each name: the last non-null value so far (last), the sum so far (total), both with the
-    row itself, or the value of the row before (previous). slice_by is the first of the order columns."""
+    row itself, or the value of the row before (previous). slice_by is the first of the order columns.
+
+    rows are written once to the shared folder (they are read for the slices' edges, inside the slices and for
+    what slices leave behind), so pass only the columns that are needed.
+    """
+    rows = cut(rows)
     last, total, previous = last or {}, total or {}, previous or {}
-    cut = [*keys, "_slice"]
+    part = [*keys, "_slice"]
     data = sliced(rows, slice_by, slices)
     for k, c in (last | total | previous).items():
         data = data.withColumn(f"_{k}", c)
-    here = W.partitionBy(*cut).orderBy(*order)
+    here = W.partitionBy(*part).orderBy(*order)
     upto = here.rowsBetween(W.unboundedPreceding, 0)
     inside = data.select(
         "*",
@@ -42,7 +47,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], slice_by: str, l
         F.row_number().over(here).alias("_rn"),
     )
     place = F.struct(*order)
-    ends = data.groupBy(*cut).agg(
+    ends = data.groupBy(*part).agg(
         F.max(place).alias("_end"),
         *(F.max_by(f"_{k}", F.when(F.col(f"_{k}").isNotNull(), place)).alias(f"{k}_end") for k in last),
         *(F.sum(f"_{k}").alias(f"{k}_end") for k in total),
@@ -50,12 +55,12 @@ def running(rows: DataFrame, keys: list[str], order: list[str], slice_by: str, l
     )
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(
-        *cut,
+        *part,
         *(F.last(f"{k}_end", ignorenulls=True).over(earlier).alias(f"{k}_before") for k in last),
         *(F.sum(f"{k}_end").over(earlier).alias(f"{k}_before") for k in total),
         *(F.last(f"{k}_end").over(earlier).getField(f"_{k}").alias(f"{k}_before") for k in previous),
     )
-    out = inside.join(carried, cut, "left")
+    out = inside.join(carried, part, "left")
     results = (
         [F.coalesce(f"{k}_in", f"{k}_before").alias(k) for k in last]
         + [F.coalesce(F.coalesce(f"{k}_in", F.lit(0)) + F.coalesce(f"{k}_before", F.lit(0)), F.lit(0)).alias(k) for k in total]
