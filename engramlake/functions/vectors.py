@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from engramlake.functions.hashing import fnv1a64_many
@@ -27,24 +26,21 @@ def normalized(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float"))
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(word: str) -> int:
-    return int(fnv1a64_many([word.encode()[:127]])[0] % BOW_DIM)
-
-
 def bow(texts: list[str | None]) -> np.ndarray:
     """Counts of hashed words (ASCII case folded, split at ASCII white space), unit length."""
+    words = [[w for w in (t or "").translate(_FOLD).split(" ") if w] for t in texts]
+    lens = np.fromiter(map(len, words), np.int64, len(words))
     out = np.zeros((len(texts), BOW_DIM))
-    upper = {c: c + 32 for c in range(65, 91)}
-    for k, t in enumerate(texts):
-        for w in (t or "").translate(_SPACES).split(" "):
-            if w:
-                out[k, _bucket(w.translate(upper))] += 1
+    if lens.sum():
+        coded = pa.array([w for ws in words for w in ws], pa.string()).dictionary_encode()
+        slot = (fnv1a64_many([w.encode()[:127] for w in coded.dictionary.to_pylist()]) % np.uint64(BOW_DIM)).astype(np.int64)
+        cells = np.repeat(np.arange(len(texts)), lens) * BOW_DIM + slot[coded.indices.to_numpy()]
+        out = np.bincount(cells, minlength=out.size).reshape(out.shape).astype(float)
     n = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, n, out=out, where=n > 0).astype(np.float32)
 
 
-_SPACES = {ord(c): " " for c in "\t\n\r\x0b\x0c"}
+_FOLD = {ord(c): " " for c in "\t\n\r\x0b\x0c"} | {c: c + 32 for c in range(65, 91)}
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
