@@ -302,7 +302,8 @@ def found(texts: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
                     for _, _, kind in spans:
                         seen[kind] = seen.get(kind, 0) + 1
                         hit.append(k), kinds.append(kind), nths.append(seen[kind])
-                yield pd.DataFrame({c: part[c].to_numpy(dtype=object)[hit] for c in key_cols} | {"kind": kinds, "nth": nths})
+                if hit:
+                    yield pd.DataFrame({c: part[c].to_numpy(dtype=object)[hit] for c in key_cols} | {"kind": kinds, "nth": nths})
 
     return texts.select(*key_cols, text_col).where(F.col(text_col).isNotNull()).mapInPandas(tag, f"{keys}, kind string, nth bigint")
 

@@ -95,6 +95,8 @@ def hashed(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id:
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             found = [sentences(t) for t in b["text"]]
             flat = [w for doc in found for s in doc for w in s]
             if flat:
@@ -277,7 +279,8 @@ def posteriors(documents: DataFrame, labels: DataFrame, subject_area: DataFrame,
             start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             share = np.add.reduceat(p, start, axis=0)[:, :-1] / np.bincount(doc)[:, None]
             row, col = np.nonzero(q > 0.01)
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[row], "subject": [names[c] for c in col], "posterior": q[row, col].astype(float), "share": share[row, col].astype(float)})
+            if len(row):
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[row], "subject": [names[c] for c in col], "posterior": q[row, col].astype(float), "share": share[row, col].astype(float)})
 
     return features.select("doc_id", "words", "lens", "labels").mapInPandas(assign, f"doc_id {key_type}, subject string, posterior double, share double")
 
