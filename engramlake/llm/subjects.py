@@ -56,7 +56,7 @@ NONE_WORDS = {
 }
 NONE_COUNT, DESCRIPTION_COUNT = 40, 10
 
-_LEAD = re.compile(r"^\W*(?:(?:INSERT\s+\w+|UPDATE\s+M\d+)\s*\||\[?M\d+\]?\s*\([^)]*\)|(?:ANSWER|Question:|USER:|ASSISTANT:|U:|A:|user>|asper>)\s)?\s*", re.I)
+_LEAD = re.compile(r"^\W*(?:(?:INSERT\s+\w+|UPDATE\s+M\d+)\s*\||\[?M\d+\]?\s*\([^)]*\)|(?:ANSWER|Question:|USER:|ASSISTANT:|U:|A:|\w+>)\s)?\s*", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"(?<=[.!?…])[\"”’*_)]*\s+")
 
