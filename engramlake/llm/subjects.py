@@ -6,7 +6,8 @@ conversation itself). Words are hashed into a fixed number of buckets, so counts
 whatever the vocabulary, and only those counts (buckets x classes) reach the driver.
 
 1. First counts: sentences of labelled documents, spread over the document's labels, or none where a seed
-   word of none stands, plus the words of the subjects' descriptions and the seed words.
+   word of none stands, plus the words of the subjects' descriptions and the seed words. In languages other than
+   the first, where labels may be missing, sentences with a seed word of a subject start it, labelled or not.
 2. Expectation: complement naive Bayes scores and the document's own mix give each sentence a posterior
    over the classes; a labelled document's listed subjects weigh more, as its list may be incomplete.
    Maximization: new counts from all documents, labelled or not. A fixed number of rounds.
@@ -55,6 +56,49 @@ NONE_WORDS = {
     "es": "mencionar responder recordar conversación mensaje palabras".split(),
 }
 NONE_COUNT, DESCRIPTION_COUNT = 40, 10
+#: Words that start a subject in the other languages, where no labelled document may have it; general vocabulary.
+SUBJECT_WORDS = {
+    "cooking": {
+        "de": "rezept rezepte kochen küche backen backofen backblech braten topf pfanne suppe linsensuppe teig sauerteig gewürz gewürze gewürzregal kräuter zutaten mehl zwiebel zwiebeln knoblauch butter soße gericht mahlzeit",
+        "es": "cocina cocinar recetas horno sartén olla salsa sopa caldo guiso ingredientes harina cebolla ajo lentejas pollo arroz plato hornear freír especias comida",
+    },
+    "finance": {
+        "de": "geld steuer steuern steuererklärung konto sparkonto girokonto kredit kreditzins zinsen rechnung haushaltsplan budget sparen ersparnisse aktie aktien fonds darlehen hypothek rente bank überweisung",
+        "es": "dinero hipoteca ahorro ahorros presupuesto impuesto impuestos factura interés préstamo préstamos crédito banco inversión acciones bolsa deuda pensión",
+    },
+    "gardening": {
+        "de": "garten gärtner pflanze pflanzen beet beete hochbeet gemüsebeet obstbaum obstbäume kompost komposthaufen rose rosen hecke rosenhecke rasen samen saatgut aussaat erde dünger unkraut schnecken ernte blumen gießkanne regentonne",
+        "es": "jardín jardinería planta plantas huerto semilla semillas maceta macetas riego regar poda podar abono compost césped tierra flores rosal rosales cosecha plaga plagas invernadero",
+    },
+    "health": {
+        "de": "arzt hausarzt ärztin krankheit symptome allergie allergietest blutdruck impfung impfpass schlaf schlafmangel physiotherapie therapie medizin medikament medikamente schmerzen fieber krankenhaus genesung",
+        "es": "médico médica salud enfermedad síntomas alergia vacuna vacunas presión arterial dolor fisioterapia medicina medicamento fiebre hospital tratamiento sueño",
+    },
+    "law": {
+        "de": "gericht gerichtstermin recht gesetz vertrag mietvertrag anwalt anwältin klage klageschrift berufung urteil richter zeuge zeugenaussage vollmacht paragraf strafe notar",
+        "es": "ley leyes juicio juez jueza tribunal contrato cláusula abogado abogada demanda apelación testigo testigos notario sentencia derecho derechos",
+    },
+    "music": {
+        "de": "musik klavier klavierabend gitarre geige chor chorprobe orchester konzert lied lieder noten notenblatt takt melodie streichquartett komponist aufnahme schlagzeug",
+        "es": "música guitarra piano violín coro orquesta concierto canción canciones partitura compás melodía recital tambor grabación compositor",
+    },
+    "science": {
+        "de": "forschung experiment experimente versuch versuchsaufbau hypothese labor laborprobe messung messreihe mikroskop teleskop teilchen zelle zellen zellkultur physik chemie biologie theorie",
+        "es": "ciencia investigación experimento experimentos hipótesis laboratorio microscopio telescopio medición espectro célula células celular física química biología",
+    },
+    "software": {
+        "de": "programm programme programmieren quelltext code fehlerbericht speicherfehler datenbank datenbankindex testlauf server compiler entwickler version versionszweig schnittstelle absturz",
+        "es": "programa programas programar código servidor compilador errores datos versiones pruebas depurar desarrollador interfaz",
+    },
+    "sport": {
+        "de": "sport training trainingsplan trainer mannschaft spiel heimspiel tor torwart schiedsrichter wettkampf lauf marathon halbmarathon staffellauf liga turnier fußball",
+        "es": "deporte entrenamiento entrenador equipo partido portero árbitro carrera maratón liga torneo gol fútbol atleta salto",
+    },
+    "travel": {
+        "de": "reise reisen zug nachtzug flug flughafen hafen fährhafen gepäck gepäckschein koffer hotel unterkunft grenze zwischenstopp fensterplatz berghütte fahrkarte bahnhof",
+        "es": "viaje viajes viajar tren vuelo aeropuerto equipaje maleta hotel albergue frontera embarque pasaporte reserva estación billete",
+    },
+}
 
 _LEAD = re.compile(r"^\W*(?:(?:INSERT\s+\w+|UPDATE\s+M\d+)\s*\||\[?M\d+\]?\s*\([^)]*\)|(?:ANSWER|Question:|USER:|ASSISTANT:|U:|A:|\w+>)\s)?\s*", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -87,13 +131,30 @@ def languages(vocab: list[str], coded: np.ndarray, first: np.ndarray) -> np.ndar
 _TELLS = [frozenset(ws) for ws in LANGUAGES.values()]
 
 
-def hashed(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, words (buckets), lens (words a sentence), labels (numbers of subjects, null if unlabelled)."""
+def starters(subjects: list[tuple[str, str | None]]) -> np.ndarray:
+    """For each bucket the number of the subject whose seed word it holds, -1 if none; the first language has none."""
+    out = np.full(TOTAL, -1, np.int16)
+    several = set()
+    for k, (name, description) in enumerate(subjects):
+        own = [w for w in WORD.findall(f"{name} {description or ''}".lower()) if len(w) > 3]
+        for at, language in list(enumerate(LANGUAGES))[1:]:
+            for b in bucket(sorted({*own, *SUBJECT_WORDS.get(name.lower(), {}).get(language, "").split()})) + at * BUCKETS:
+                if out[b] >= 0:
+                    several.add(b)
+                out[b] = k
+    out[list(several)] = -1  # a word of several subjects tells nothing
+    return out
+
+
+def hashed(documents: DataFrame, labels: DataFrame, areas: list[tuple[str, str | None]], doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, words (buckets), lens (words a sentence), starts (has a seed word), labels (numbers of subjects, null if unlabelled)."""
+    subjects = [s for s, _ in areas]
     number = F.create_map(*[x for k, s in enumerate(subjects) for x in (F.lit(s), F.lit(k))])
     given = labels.where(F.col("subject").isin(subjects)).select(F.col("doc_id").alias("l_id"), number[F.col("subject")].alias("k")).groupBy("l_id").agg(F.array_sort(F.collect_set("k")).alias("labels"))
     key_type = dict(documents.dtypes)[doc_id]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = starters(areas)
         for b in batches:
             if not len(b):
                 continue
@@ -108,10 +169,11 @@ def hashed(documents: DataFrame, labels: DataFrame, subjects: list[str], doc_id:
             else:
                 ids = np.zeros(0, np.int32)
             ends = np.cumsum([sum(map(len, doc)) for doc in found])
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "words": np.split(ids, ends[:-1]) if len(ends) else [], "lens": [np.array(list(map(len, doc)), np.int32) for doc in found]})
+            told = np.diff(np.concatenate([[0], np.cumsum(table[ids] >= 0)])[np.concatenate([[0], ends])]) > 0
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "starts": told, "words": np.split(ids, ends[:-1]) if len(ends) else [], "lens": [np.array(list(map(len, doc)), np.int32) for doc in found]})
 
     texts = documents.where(F.col(text_col).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text"))
-    words = texts.mapInPandas(split, f"doc_id {key_type}, words array<int>, lens array<int>")
+    words = texts.mapInPandas(split, f"doc_id {key_type}, starts boolean, words array<int>, lens array<int>")
     return cut(words.where("size(lens) > 0").join(given, F.col("doc_id") == F.col("l_id"), "left").drop("l_id"))
 
 
@@ -166,24 +228,30 @@ def _flat(b: pd.DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return words, lens, doc, allowed, known
 
 
-def _counts(features: DataFrame, model: Model | None, classes: int) -> np.ndarray:
+def _counts(features: DataFrame, model: Model | None, classes: int, areas: list[tuple[str, str | None]] | None = None) -> np.ndarray:
     """Expected words of each class, summed over all rows (buckets x classes numbers reach the driver)."""
     shared = features.sparkSession.sparkContext.broadcast(model)
     tells = np.concatenate([bucket(ws) + k * BUCKETS for k, ws in enumerate(NONE_WORDS.values())])
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((TOTAL, classes))
+        table = starters(areas) if shared.value is None else None
         for b in batches:
             if not len(b):
                 continue
-            words, lens, doc, allowed, _ = _flat(b, classes)
-            if shared.value is None:  # labelled documents: their labels, or none where a word tells so
-                p = np.where(allowed == 1, 1.0, 0.0)
+            words, lens, doc, allowed, known = _flat(b, classes)
+            if shared.value is None:  # seed words, else the labels of labelled documents, or none where a word tells so
+                p = np.where((allowed == 1) & known[:, None], 1.0, 0.0)
                 p[:, -1] = 0
-                p = (p / p.sum(1, keepdims=True))[doc]
+                p = (p / np.maximum(p.sum(1, keepdims=True), 1))[doc]
+                told = np.zeros_like(p)
+                at = np.flatnonzero(table[words] >= 0)
+                np.add.at(told, (np.repeat(np.arange(len(lens)), lens)[at], table[words[at]]), 1)
+                seeded = told.sum(1) > 0
+                p[seeded] = told[seeded] / told[seeded].sum(1, keepdims=True)
                 none = np.add.reduceat(np.isin(words, tells), np.concatenate([[0], np.cumsum(lens)[:-1]]))[:, None] > 0
                 p = np.where(none, 0.1, 0.9) * p
-                p[:, -1:] = np.where(none, 0.9, 0.1)
+                p[:, -1:] = np.where(none, 0.9, 0.1) * (none | (seeded | known[doc])[:, None])
             else:
                 p = shared.value.posterior(words, lens, doc, allowed)
             of = np.repeat(np.arange(len(lens)), lens)
@@ -248,12 +316,15 @@ def fit(features: DataFrame, subjects: list[tuple[str, str]], rounds: int = ROUN
         for w in WORD.findall(f"{name} {description or ''}".lower()):
             if len(w) > 3:
                 seeds[bucket([w])[0], k] += DESCRIPTION_COUNT
+    table = starters(subjects)
+    told = np.flatnonzero(table >= 0)
+    seeds[told, table[told]] += DESCRIPTION_COUNT
     for k, ws in enumerate(NONE_WORDS.values()):
         for w in ws:
             seeds[bucket([w])[0] + k * BUCKETS, -1] += NONE_COUNT
-    labelled = features.where("labels is not null")
-    model = Model(_counts(labelled, None, classes) + seeds)
-    model = Model(_counts(labelled, model, classes) + seeds)
+    labelled, begun = features.where("labels is not null"), features.where("labels is not null or starts")
+    model = Model(_counts(begun, None, classes, subjects) + seeds)
+    model = Model(_counts(begun, model, classes) + seeds)
     for _ in range(rounds - 1):
         model = Model(_counts(features, model, classes) + seeds)
     return model, _temperature(labelled, model, classes)
@@ -263,7 +334,7 @@ def posteriors(documents: DataFrame, labels: DataFrame, subject_area: DataFrame,
     """doc_id, subject, posterior, share for every document and subject with a posterior over 0.01."""
     subjects = [(r["subject"], r["description"]) for r in subject_area.where("subject is not null").groupBy("subject").agg(F.min("description").alias("description")).orderBy("subject").collect()]
     names = [s for s, _ in subjects]
-    features = hashed(documents, labels, names, doc_id, text_col)
+    features = hashed(documents, labels, subjects, doc_id, text_col)
     model, temperature = fit(features, subjects, rounds)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     key_type = dict(features.dtypes)["doc_id"]
