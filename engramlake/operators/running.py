@@ -67,3 +67,18 @@ def running(rows: DataFrame, keys: list[str], order: list[str], slice_by: str, l
         + [F.when(F.col("_rn") == 1, F.col(f"{k}_before")).otherwise(F.col(f"{k}_in")).alias(k) for k in previous]
     )
     return out.select(*rows.columns, *results)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place, from 1, in an order over all rows.
+
+    Ranges of the order columns go to the tasks; each numbers its own rows from where the ranges before it end.
+    rows are written once to the shared folder, as ranges may be drawn otherwise when computed again.
+    """
+    ranges = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order)
+    ranges = cut(ranges.withColumn("_range", F.spark_partition_id()))
+    ends = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ends.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row a range
+    here = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_rn", here).join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_start") + F.col("_rn")).cast("bigint").alias(name))

@@ -14,6 +14,7 @@ from engramlake.config import Config
 from engramlake.functions import hashing, scoring, text, time, vectors
 from engramlake.operators import curation, embedding, inject, protocol, replay as J, retrieval
 from engramlake.operators import records as R
+from engramlake.operators.running import numbered
 
 NOW = 1_785_319_920
 CFG = Config()
@@ -109,11 +110,9 @@ def list_project(s, d):
 
 @query(MEM + "SELECT id, row_number() OVER (ORDER BY locked DESC, relevance DESC, created_at, id) AS place FROM mem WHERE section = 'identity' AND NOT deprecated QUALIFY place <= 64")
 def identity_order(s, d):
-    from pyspark.sql import Window as W
-
-    order = W.orderBy(F.desc("locked"), F.desc("relevance"), "created_at", "id")
-    # the section holds no more than its cap; the ordered limit keeps that many rows a task
-    return R.identity(memory(s, d)).limit(CFG.identity_max_records).select("id", F.row_number().over(order).cast("bigint").alias("place"))
+    """Every active identity row; identity_max_records only bounds what is inserted, never what is listed."""
+    rows = R.identity(memory(s, d)).select("id", "locked", "relevance", "created_at")
+    return numbered(rows, [F.desc("locked"), F.desc("relevance"), F.col("created_at"), F.col("id")]).select("id", "place")
 
 
 @query(MEM + "SELECT count(*) FILTER (WHERE section = 'identity' AND NOT deprecated) AS identity_count, count(*) FILTER (WHERE section = 'context' AND NOT deprecated) AS context_count, count(*) FILTER (WHERE section = 'project' AND NOT deprecated) AS project_count, count(*) FILTER (WHERE deprecated) AS deprecated_count FROM mem")
