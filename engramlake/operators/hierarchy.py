@@ -11,6 +11,8 @@ Defined results:
 * a null, empty or unknown parent makes the node a root (depth 0, path [id]);
 * a node on a circle or leading into one has depth -1, no path, and as root the
   smallest id on that circle; a node that names itself is a circle of one;
+* the successors of a node on a circle are the rest of the circle and what leads into
+  it, those of a node below a circle the tree below it; no node is its own successor;
 * rows with a null or empty id are no nodes; of rows that repeat an id the smallest
   (id, parent) counts, null parents first.
 """
@@ -27,7 +29,8 @@ from engramlake.runtime import cut
 #: Peeled in one task below this many rows (about 10 MB); a constant, whatever the input's size.
 RESIDUAL_ROWS = 32_768
 
-PLACED = "key string, id string, parent string, size bigint, root string, depth bigint, path array<string>, on_circle boolean"
+#: Within peeling a path below a circle starts at the node of the circle; turn is how many links that node is below the circle's smallest id.
+PLACED = "key string, id string, parent string, size bigint, root string, depth bigint, path array<string>, on_circle boolean, turn bigint"
 
 
 def nodes_of(records: DataFrame, id_col: str = "id", parent_col: str = "supersedes") -> DataFrame:
@@ -103,34 +106,39 @@ def _peel_here(batches: Iterator[pd.DataFrame], paths: bool = True) -> Iterator[
             ring = [k]
             while (n := parent[ring[-1]]) != k:
                 ring.append(n)
-            least = min(ids[x] for x in ring)
-            place |= {x: (least, -1, None, True) for x in ring}
+            at = min(range(len(ring)), key=lambda n: ids[ring[n]])
+            place |= {x: (ids[ring[at]], -1, [ids[x]] if paths else None, True, (at - n) % len(ring)) for n, x in enumerate(ring)}
     for k in reversed(peeled):
         if (p := parent.get(k)) is None:
-            place[k] = (ids[k], 0, [ids[k]] if paths else None, False)
+            place[k] = (ids[k], 0, [ids[k]] if paths else None, False, None)
         else:
-            root, depth, path, _ = place[p]
-            place[k] = (root, depth + 1, [*path, ids[k]] if paths else None, False) if depth >= 0 else (root, -1, None, False)
-    yield pd.DataFrame(
+            root, depth, path, _, turn = place[p]
+            place[k] = (root, depth + 1 if depth >= 0 else -1, [*path, ids[k]] if paths else None, False, turn)
+    out = pd.DataFrame(
         [(k, ids[k], parent.get(k), size[k], *place[k]) for k in key],
-        columns=["key", "id", "parent", "size", "root", "depth", "path", "on_circle"],
+        columns=["key", "id", "parent", "size", "root", "depth", "path", "on_circle", "turn"],
     )
+    yield out.astype({"turn": "Int64"})
 
 
-def _circles(rows: DataFrame) -> DataFrame:
-    """Smallest id on each circle, by pointer doubling, when too many circles are left for one task."""
-    at = rows.select("key", F.col("parent").alias("next"), F.col("id").alias("least"))
+def _circles(rows: DataFrame, paths: bool = True) -> DataFrame:
+    """Smallest id on each circle and the links up to it, by pointer doubling, when too many circles are left for one task."""
+    at = rows.select("key", F.col("parent").alias("next"), F.col("id").alias("least"), F.lit(0).cast("bigint").alias("turn"))
+    ahead = 1
     while True:
         step = at.alias("a").join(at.alias("b"), F.expr("a.next = b.key")).select(
             F.col("a.key").alias("key"), F.col("b.next").alias("next"), F.least("a.least", "b.least").alias("least"),
+            F.when(F.expr("b.least < a.least"), F.col("b.turn") + F.lit(ahead)).otherwise(F.col("a.turn")).alias("turn"),
             F.expr("b.least < a.least").alias("moved"),
         )
         step = cut(step)
+        ahead *= 2
         at = step.drop("moved")
         if step.where("moved").isEmpty():
             break
-    return rows.join(at.select("key", F.col("least").alias("root")), "key").select(
-        "key", "id", "parent", "size", "root", F.lit(-1).cast("bigint").alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(True).alias("on_circle")
+    return rows.join(at.select("key", F.col("least").alias("root"), "turn"), "key").select(
+        "key", "id", "parent", "size", "root", F.lit(-1).cast("bigint").alias("depth"),
+        (F.array("id") if paths else F.lit(None).cast("array<string>")).alias("path"), F.lit(True).alias("on_circle"), F.col("turn").cast("bigint").alias("turn")
     )
 
 
@@ -152,21 +160,22 @@ def peel(linked: DataFrame, residual_rows: int = RESIDUAL_ROWS, paths: bool = Tr
         rounds.append(off)
     rest = _round(alive, leaves).drop("leaf") if leaves is not None else alive
     if count > residual_rows:
-        placed = _circles(rest)
+        placed = _circles(rest, paths)
     else:
         placed = rest.coalesce(1).mapInPandas(lambda batches: _peel_here(batches, paths), PLACED)
     if not rounds:
         return placed
     placed = cut(placed)
     for k, off in enumerate(reversed(rounds)):
-        up = placed.select(F.col("key").alias("parent"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("path").alias("p"))
+        up = placed.select(F.col("key").alias("parent"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("path").alias("p"), "turn")
         top = F.col("parent").isNull()
         here = off.join(up, "parent", "left").select(
             "key", "id", "parent", "size",
             F.when(top, F.col("id")).otherwise(F.col("r")).alias("root"),
             F.when(top, F.lit(0)).when(F.col("d") < 0, F.lit(-1)).otherwise(F.col("d") + 1).cast("bigint").alias("depth"),
-            (F.when(top, F.array("id")).when(F.col("d") >= 0, F.concat("p", F.array("id"))) if paths else F.lit(None).cast("array<string>")).alias("path"),
+            (F.when(top, F.array("id")).otherwise(F.concat("p", F.array("id"))) if paths else F.lit(None).cast("array<string>")).alias("path"),
             F.lit(False).alias("on_circle"),
+            "turn",
         )
         last = k == len(rounds) - 1
         placed = placed.unionByName(here if last else cut(here))
@@ -174,15 +183,17 @@ def peel(linked: DataFrame, residual_rows: int = RESIDUAL_ROWS, paths: bool = Tr
 
 
 def hierarchy(records: DataFrame, id_col: str = "id", parent_col: str = "supersedes", residual_rows: int = RESIDUAL_ROWS) -> DataFrame:
-    """Every node: id, parent, root, depth, path (root first), subtree_size, on_circle, into_circle."""
+    """Every node: id, parent, root, depth, path (root first), subtree_size, on_circle, into_circle; for nodes into a circle
+    branch, from the node of the circle down to the node itself, and turn, the links from that node of the circle up to the root."""
     nodes = nodes_of(records, id_col, parent_col)
-    placed = peel(linked_nodes(nodes), residual_rows).select("key", F.col("parent").alias("up"), "size", "root", "depth", "path", "on_circle")
+    placed = peel(linked_nodes(nodes), residual_rows).select("key", F.col("parent").alias("up"), "size", "root", "depth", "path", "on_circle", "turn")
     return nodes.select("key", "id").join(placed, "key", "left").select(
         "id", F.col("up").alias("parent"), F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"),
-        F.when(F.col("depth").isNull(), F.array("id")).otherwise(F.col("path")).alias("path"),
+        F.when(F.col("depth").isNull(), F.array("id")).when(F.col("depth") >= 0, F.col("path")).alias("path"),
         F.coalesce("size", F.lit(1)).cast("bigint").alias("subtree_size"),
         F.coalesce("on_circle", F.lit(False)).alias("on_circle"),
         (F.coalesce(F.col("depth"), F.lit(0)) < 0).alias("into_circle"),
+        F.when(F.col("depth") < 0, F.col("path")).alias("branch"), "turn",
     )
 
 
@@ -194,8 +205,17 @@ def found(records: DataFrame, residual_rows: int = RESIDUAL_ROWS) -> DataFrame:
 def descendants(placed: DataFrame) -> DataFrame:
     """id, descendant, distance: one row per pair, so that a hub never becomes one long array.
 
-    Nodes on or leading into circles have no rows.
+    On a circle distance is the fewest links from the descendant up to id.
     """
-    return placed.select("depth", F.col("id").alias("descendant"), F.posexplode("path").alias("at", "id")).where("at < depth").select(
-        "id", "descendant", (F.col("depth") - F.col("at")).cast("bigint").alias("distance")
+    lines = placed.select(F.col("id").alias("descendant"), F.coalesce("path", "branch").alias("line"))
+    down = lines.select("descendant", (F.size("line") - 1).alias("last"), F.posexplode("line").alias("at", "id")).where("at < last").select(
+        "id", "descendant", (F.col("last") - F.col("at")).cast("bigint").alias("distance")
     )
+    # the other nodes of a circle, from each of its nodes and from each below it
+    into = placed.where("into_circle").select(F.col("id").alias("descendant"), "root", "turn", (F.size("branch") - 1).alias("below"))
+    ring = placed.where("on_circle").select("id", "root", F.col("turn").alias("of"))
+    long = ring.groupBy("root").agg((F.max("of") + 1).alias("long"))
+    around = into.join(ring.join(long, "root"), "root").where("turn <> of").select(
+        "id", "descendant", (F.col("below") + F.pmod(F.col("turn") - F.col("of"), F.col("long"))).cast("bigint").alias("distance")
+    )
+    return down.unionByName(around)
