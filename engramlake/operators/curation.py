@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -89,9 +91,9 @@ def touched(records: DataFrame, notes: DataFrame, at: int) -> DataFrame:
     )
 
 
-def memory_lines(found: DataFrame) -> DataFrame:
-    """handle, line of numbered records."""
-    return found.select("handle", F.concat(F.lit("[M"), F.col("handle").cast("string"), F.lit("] "), label(F.col("section"), F.col("project")), F.lit(" "), F.col("content")).alias("line"))
+def memory_lines(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """handle, line of numbered records, with their keys."""
+    return found.select(*keys, "handle", F.concat(F.lit("[M"), F.col("handle").cast("string"), F.lit("] "), label(F.col("section"), F.col("project")), F.lit(" "), F.col("content")).alias("line"))
 
 
 def _list(lines: DataFrame, head: str, empty: str) -> DataFrame:
@@ -100,9 +102,17 @@ def _list(lines: DataFrame, head: str, empty: str) -> DataFrame:
 
 
 def cycle_prompts(turns: DataFrame, related: DataFrame, cfg: Config) -> DataFrame:
-    """session, prompt: the numbered memories and the newest turns that fit; related has handle, section, project, content."""
-    memories = _list(memory_lines(related), "Existing memories:\n", "Existing memories: (none)\n")
+    """session, prompt: the numbered memories and the newest turns that fit; related has handle, section, project, content.
+
+    If related has session, each session is shown its own memories, else all are shown the same.
+    """
     talk = inject.joined(inject.transcript_tail(turns, cfg.transcript_tokens), "seq", "line", ["session"], "talk")
+    head, empty = "Existing memories:\n", "Existing memories: (none)\n"
+    if "session" in related.columns:
+        own = inject.joined(memory_lines(related, ["session"]), "handle", "line", ["session"])
+        shown = F.when(F.col("block").isNull(), F.lit(empty)).otherwise(F.concat(F.lit(head), F.col("block"), F.lit("\n")))
+        return talk.join(own, "session", "left").select("session", F.concat(shown, F.lit("\nConversation:\n"), "talk", F.lit("\n")).alias("prompt"))
+    memories = _list(memory_lines(related), head, empty)
     return talk.crossJoin(F.broadcast(memories)).select("session", F.concat("block", F.lit("\nConversation:\n"), "talk", F.lit("\n")).alias("prompt"))  # one row
 
 

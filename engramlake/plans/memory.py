@@ -15,6 +15,7 @@ from engramlake.functions import hashing, scoring, text, time, vectors
 from engramlake.operators import curation, embedding, inject, protocol, replay as J, retrieval
 from engramlake.operators import records as R
 from engramlake.operators.running import numbered
+from engramlake.runtime import cut
 
 NOW = 1_785_319_920
 CFG = Config()
@@ -436,6 +437,20 @@ def related_union(s, d):
     return retrieval.union_best(_per_turn(s, d)).agg(F.count("*").alias("n"), F.round(F.max("cos"), 5).alias("best"))
 
 
+def _related(s, d) -> DataFrame:
+    """session, id, cos, handle: three memories for each turn, their union by id for each session, twelve at most."""
+    said = turns(s, d).select("session", F.concat_ws(":", "session", F.col("seq").cast("string")).alias("query_id"), vectors.bow_vector("text").alias("vec"))
+    said, known = cut(said), cut(index(s, d).where(R.matches_scan()).select("id", "vec"))  # read once a block of turns
+    hits = retrieval.nearest(known, said.select("query_id", "vec"), 3, floor=CFG.min_similarity)
+    return retrieval.union_best(hits.join(said.select("query_id", "session"), "query_id"), HANDLES, ["session"])
+
+
+@query()
+def related_by_session(s, d):
+    """The memories related to all turns of each session, numbered best first."""
+    return _related(s, d).select("session", "handle", "id", F.round("cos", 5).alias("cos"))
+
+
 @query(
     MEM
     + OPS
@@ -504,6 +519,13 @@ def cycle_prompts(s, d):
     return curation.cycle_prompts(turns(s, d), nothing, CFG)
 
 
+@query()
+def cycle_prompts_related(s, d):
+    """The prompt of a cycle for each session with the memories related to its turns."""
+    shown = _related(s, d).join(memory(s, d).select("id", "section", "project", "content"), "id")
+    return curation.cycle_prompts(turns(s, d), shown.select("session", "handle", "section", "project", "content"), CFG)
+
+
 @query()
 def render_prompt(s, d):
     """The whole prompt for one message (one row; its parts have SQL of their own)."""
