@@ -15,41 +15,27 @@ texts under several ids are packed each; of rows that repeat an id each is packe
 
 from __future__ import annotations
 
-import base64
-import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from engramlake.runtime import cut, shuffle_partitions
+from engramlake.llm.vocabulary import TOKENIZER, content, encoder
+from engramlake.runtime import cut
 
 CAPACITY = 2048
-#: Where the tokenizer's ranks lie; overridden by the operators' parameter.
-TOKENIZER = os.environ.get("ENGRAMLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-#: The pre-tokenizer that belongs to these ranks (a fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts a task packs at least, so that few containers stay half empty.
+#: Texts a task packs, so that few containers stay half empty; the number of tasks follows the number of texts.
 TEXTS_PER_TASK = 5_000
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def token_counts(documents: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """documents with a column tokens (0 for null)."""
+    """documents with a column tokens (0 for null); the driver reads the tokenizer's file and sends it along."""
+    ranks_file = documents.sparkSession.sparkContext.broadcast(content(tokenizer))
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        e = encoder(tokenizer)
+        e = encoder(ranks_file.value)
         return pd.Series([len(e.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     return documents.withColumn("tokens", count(F.col(text_col)))
@@ -106,9 +92,8 @@ def pack_task(pdf_iter: Iterator[pd.DataFrame], capacity: int, part: int) -> Ite
 
 def packed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, texts_per_task: int = TEXTS_PER_TASK, merge_group: int = 64) -> DataFrame:
     """doc_id, piece, first_token, tokens, container: one row a text, more only for texts over the capacity."""
-    spark = documents.sparkSession
     sized = cut(token_counts(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col), text_col, tokenizer).select("doc_id", "tokens"))
-    tasks = max(1, min(4 * shuffle_partitions(spark), sized.count() // texts_per_task))
+    tasks = max(1, -(-sized.count() // texts_per_task))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

@@ -18,7 +18,7 @@ def test_packing(spark):
             size[x["container"]] = size.get(x["container"], 0) + x["tokens"]
     want = {}
     for k, t in rows:
-        want[k] = want.get(k, 0) + (len(packing.encoder(packing.TOKENIZER).encode_ordinary(t)) if t else 0)
+        want[k] = want.get(k, 0) + (len(packing.encoder(packing.content(packing.TOKENIZER)).encode_ordinary(t)) if t else 0)
     have = {}
     for x in got:
         have[x["doc_id"]] = have.get(x["doc_id"], 0) + x["tokens"]
