@@ -49,6 +49,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(df: DataFrame, each: int = 4 << 20) -> int:
+    """How many tasks df's data deserve, by the size its plan is estimated at (no job): one for each so many bytes, and
+    no fewer than the session's shuffle partitions, so that what a task reads stays as it is when the data grow.
+    Plans over rows of unknown size are estimated at exabytes; they get the session's number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = shuffle_partitions(df.sparkSession)
+    return least if size > 1 << 55 else max(least, -(-size // each))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
