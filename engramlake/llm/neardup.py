@@ -5,11 +5,14 @@ and 8, short words less), which keeps apart texts that share only short common w
 Poisson process at the rate of its weight) to random registers; a register keeps the word
 that arrives first, and a word stops once its next arrival is later than the latest register.
 Two texts agree in a register with their probability Jaccard similarity. ``rows`` registers
-make a band; texts that agree in a whole band are candidates. A 128-bit word bitmap drops
-candidates that cannot reach the threshold, and the rest are verified word by word.
+make a band; texts that agree in a whole band are candidates. A band that many texts share is cut
+into blocks of ``HEAVY`` texts, and every two of its blocks meet in a group of their own, so that no task has
+to pair up a whole band. A 128-bit word bitmap drops candidates that cannot reach the threshold, and the
+rest are verified word by word.
 
 Similarity is common words over all words, repeats counted. Copies are collapsed before
-sketching (same letters in the same order and same words) and expanded only at the end.
+sketching (same letters in the same order and same words; a class is the 128 bits of both hashes) and
+expanded only at the end.
 
 Defined results: null texts and texts under ``min_words`` words are in no pair; pairs with the
 same letters and digits in the same order are none; rows that repeat an id count once.
@@ -26,10 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from engramlake.llm.text import folded, words
+from engramlake.runtime import cut, tasks_for
 
 MIN_WORDS, THRESHOLD = 15, 0.7
 ROWS, BANDS = 6, 32
 _BLOCK = 8
+#: Texts of one band that are paired up in one place.
+HEAVY = 256
+#: A class is two numbers.
+CLASS = ("c1", "c2")
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,70 +105,155 @@ def similar(a: str, b: str) -> float:
 
 
 def _classes(records: DataFrame, id_col: str, content_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(members: class, id), (classes: class, letters_hash, content of one member)."""
+    """(members: c1, c2, id), (classes: c1, c2, content of one member); c1 is the hash of the letters."""
     token = F.regexp_extract_all(folded(F.col(content_col)), F.lit(r"[\p{L}\p{N}]+"), 0)
     kept = (
         records.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("string").alias("id"), F.col(content_col).alias("content"), token.alias("words"))
         .where(F.size("words") >= min_words)
-        .select("id", "content", F.xxhash64(F.array_join("words", "")).alias("letters_hash"), F.xxhash64(F.sort_array("words")).alias("words_hash"))
-        .withColumn("class", F.xxhash64("letters_hash", "words_hash"))
+        .select("id", "content", F.xxhash64(F.array_join("words", "")).alias("c1"), F.xxhash64(F.sort_array("words")).alias("c2"))
     )
     # By class alone, so that every later join on a class finds its side partitioned already, and as one
     # struct, so that all readers of the classes share one exchange whatever columns they need.
-    classes = kept.groupBy("class").agg(F.min(F.struct("letters_hash", "content")).alias("c")).select("class", "c.letters_hash", "c.content")
-    return kept.select("class", "id"), classes
+    classes = kept.groupBy(*CLASS).agg(F.min(F.struct("content")).alias("c")).select(*CLASS, "c.content")
+    return kept.select(*CLASS, "id"), classes
 
 
-def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """a, b: pairs of classes (a < b) at or above the threshold."""
+def _meet(batches: Iterator[pd.DataFrame], heavy: int) -> Iterator[pd.DataFrame]:
+    """Rows (key, c1, c2) sorted by key: the pairs of each key's classes; of keys with more than heavy rows each row instead, with its block."""
+    names = ["key", *CLASS]
+    held = pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
+    over: tuple[int, int] | None = None  # the key that is known to be heavy, and its rows so far
+
+    def out(a: pd.DataFrame, b: pd.DataFrame | None, key=None, block=None) -> pd.DataFrame:
+        n = len(a)
+        none = pd.array([None] * n, "Int64")
+        return pd.DataFrame({
+            "a1": a["c1"].to_numpy(), "a2": a["c2"].to_numpy(), "b1": none if b is None else b["c1"].to_numpy(), "b2": none if b is None else b["c2"].to_numpy(),
+            "key": none if key is None else key, "block": none if block is None else block,
+        })
+
+    def paired(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        key, made = rows["key"].to_numpy(), []
+        for d in range(1, len(rows)):
+            at = np.flatnonzero(key[d:] == key[:-d])
+            if not len(at):
+                break
+            x, y = rows.iloc[at], rows.iloc[at + d]
+            first = (x["c1"].to_numpy() < y["c1"].to_numpy()) | ((x["c1"].to_numpy() == y["c1"].to_numpy()) & (x["c2"].to_numpy() < y["c2"].to_numpy()))
+            differ = x["c1"].to_numpy() != y["c1"].to_numpy()  # same letters are no pair
+            for u, v, ok in ((x, y, first & differ), (y, x, ~first & differ)):
+                if ok.any():
+                    made.append(out(u[ok], v[ok]))
+        if made:
+            yield pd.concat(made)
+
+    def split(rows: pd.DataFrame, start: int) -> pd.DataFrame:
+        return out(rows, None, rows["key"].to_numpy(), (start + np.arange(len(rows))) // heavy)
+
+    for b in batches:
+        rows = pd.concat([held, b[names]], ignore_index=True) if len(held) else b[names].reset_index(drop=True)
+        if not len(rows):
+            continue
+        key = rows["key"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([starts, [len(key)]]))
+        big = size > heavy
+        if over is not None and key[0] == over[0]:
+            big[0] = True
+        for s, n in zip(starts[big], size[big]):
+            done = over[1] if over is not None and over[0] == key[s] else 0
+            yield split(rows.iloc[s : s + n], done)
+            over = (int(key[s]), done + int(n))
+        light = np.repeat(~big, size)
+        tail = int(starts[-1]) if not big[-1] else len(key)  # the last key may go on in the next batch
+        here = rows.iloc[:tail][light[:tail]]
+        if len(here):
+            yield from paired(here)
+        held = rows.iloc[tail:]
+        if not big[-1]:
+            over = None
+    if len(held):
+        yield from paired(held)
+
+
+def _candidates(banded: DataFrame, heavy: int, tasks: int) -> DataFrame:
+    """a1, a2, b1, b2: distinct pairs of classes (a < b) that share a band."""
+    met = cut(
+        banded.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(
+            lambda batches: _meet(batches, heavy), "a1 bigint, a2 bigint, b1 bigint, b2 bigint, key bigint, block bigint"
+        )
+    )
+    rows = met.where("key is not null")
+    blocks = rows.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
+    spread = rows.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("c")
+    )
+    left, right = spread.where("block = lo").withColumnRenamed("c", "x"), spread.where("block = hi").withColumnRenamed("c", "y")
+    crossed = (
+        left.drop("block").join(right.drop("block"), ["key", "lo", "hi"])
+        .where("(lo < hi or x < y) and x.c1 <> y.c1")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .select(F.col("a.c1").alias("a1"), F.col("a.c2").alias("a2"), F.col("b.c1").alias("b1"), F.col("b.c2").alias("b2"))
+    )
+    return met.where("key is null").select("a1", "a2", "b1", "b2").unionByName(crossed).distinct()
+
+
+def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS, heavy: int = HEAVY, tasks: int | None = None) -> DataFrame:
+    """a1, a2, b1, b2: pairs of classes (a < b) at or above the threshold (runs one job)."""
 
     def bands_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 2000):
                 part = b.iloc[at : at + 2000]
                 keys = band_keys(sketch(list(part["content"]), rows * bands), rows)
-                yield pd.DataFrame({"key": keys.ravel(), "class": np.repeat(part["class"].to_numpy(), bands)})
-
-    banded = classes.select("class", "content").mapInPandas(bands_of, "key bigint, class bigint")
-    pairs = (
-        banded.select("key", F.col("class").alias("a"))
-        .join(banded.select("key", F.col("class").alias("b")), "key")
-        .where("a < b")
-        .select("a", "b")
-        .distinct()
-    )
+                yield pd.DataFrame({"key": keys.ravel(), "c1": np.repeat(part["c1"].to_numpy(), bands), "c2": np.repeat(part["c2"].to_numpy(), bands)})
+
+    banded = classes.select(*CLASS, "content").mapInPandas(bands_of, "key bigint, c1 bigint, c2 bigint")
+    pairs = _candidates(banded, heavy, tasks or tasks_for(classes))
     token = F.regexp_extract_all(folded(F.col("content")), F.lit(r"[\p{L}\p{N}]+"), 0)
     bits = lambda half: F.expr(
         f"aggregate(hashes, 0L, (acc, h) -> acc | if((shiftright(h, 7) & 1) = {half}, shiftleft(1L, cast(h & 63 as int)), 0L))"
     )
-    maps = classes.select("class", "letters_hash", F.transform(token, lambda w: F.xxhash64(w)).alias("hashes")).select(
-        "class", "letters_hash", F.size("hashes").alias("n"), bits(0).alias("m1"), bits(1).alias("m2")
+    maps = classes.select(*CLASS, F.transform(token, lambda w: F.xxhash64(w)).alias("hashes")).select(
+        *CLASS, F.size("hashes").alias("n"), bits(0).alias("m1"), bits(1).alias("m2")
     )
-    side = lambda s: maps.select(F.col("class").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("letters_hash", "n", "m1", "m2")))
+    side = lambda s: maps.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "m1", "m2")))
     apart = F.bit_count(F.col("m1_a").bitwiseXOR(F.col("m1_b"))) + F.bit_count(F.col("m2_a").bitwiseXOR(F.col("m2_b")))
     possible = (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where("letters_hash_a <> letters_hash_b")
+        pairs.join(side("a"), ["a1", "a2"])
+        .join(side("b"), ["b1", "b2"])
         .where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
         # each bit that differs stands for at least one word that the texts do not share
         .where(apart <= (1 - 2 * threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) + 1e-9)
-        .select("a", "b")
+        .select("a1", "a2", "b1", "b2")
     )
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = [similar(x, y) >= threshold - 1e-12 for x, y in zip(b["text_a"], b["text_b"])]
-            yield b.loc[ok, ["a", "b"]]
+            yield b.loc[ok, ["a1", "a2", "b1", "b2"]]
 
-    text = lambda s: classes.select(F.col("class").alias(s), F.col("content").alias(f"text_{s}"))
-    return possible.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(verify, "a bigint, b bigint")
+    text = lambda s: classes.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("content").alias(f"text_{s}"))
+    return (
+        possible.join(text("a"), ["a1", "a2"]).join(text("b"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "text_a", "text_b")
+        .mapInPandas(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    )
 
 
-def similar_pairs(records: DataFrame, id_col: str = "id", content_col: str = "content", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def similar_pairs(records: DataFrame, id_col: str = "id", content_col: str = "content", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS, heavy: int = HEAVY) -> DataFrame:
     """id_a, id_b (id_a < id_b): all pairs of records at or above the threshold."""
     members, classes = _classes(records, id_col, content_col, min_words)
-    found = similar_classes(classes, threshold, rows, bands)
-    side = lambda s: members.select(F.col("class").alias(s), F.col("id").alias(f"id_{s}")).distinct()
-    return found.join(side("a"), "a").join(side("b"), "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    found = similar_classes(classes, threshold, rows, bands, heavy, tasks_for(records))
+    side = lambda s: members.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("id").alias(f"id_{s}")).distinct()
+    return found.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+
+
+def membership(records: DataFrame, id_col: str = "id", content_col: str = "content", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS, heavy: int = HEAVY) -> DataFrame:
+    """id, class_id, links: every record of enough words, the class of its copies and how many other classes are similar to it."""
+    members, classes = _classes(records, id_col, content_col, min_words)
+    found = similar_classes(classes, threshold, rows, bands, heavy, tasks_for(records))
+    ends = F.explode(F.array(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2"))))
+    links = found.select(ends.alias("c")).groupBy(F.col("c.c1").alias("c1"), F.col("c.c2").alias("c2")).agg(F.count("*").alias("links"))
+    name = F.lower(F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0")))
+    return members.distinct().join(links, list(CLASS), "left").select("id", name.alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -33,6 +33,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "asper_record"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of enough words with the class of its copies and how many classes are similar to it."""
+    return neardup.membership(table(spark, sf_dir, "asper_record"))
+
+
 def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts that may hold personal information; a turn delivered twice is one text."""
     records = table(spark, sf_dir, "asper_record").select(F.lit("record").alias("origin"), F.col("id").alias("rec_key"), F.col("content").alias("text"))
@@ -53,19 +58,19 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_report(spark, sf_dir).select("doc_id", "item_id")
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each affected document and item with the tiles found and the share of the item they cover."""
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    """Each document that holds half of an item or more, in whatever order, with the tiles found and the share they cover."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), min_coverage=0.5)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.found(*(table(spark, sf_dir, t) for t in ("documents", "doc_label", "subject_area")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_survivors, p5_found, p6_found, p6_redacted, p7_containers, p8_found, p8_report, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_survivors, p5_found, p5_classes, p6_found, p6_redacted, p7_containers, p8_found, p8_report, p9_found)}
 
 _COPIES = r"""
 WITH keyed AS (

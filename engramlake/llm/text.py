@@ -27,4 +27,5 @@ def tag_set(c: Column) -> Column:
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The words of a text, folded as above."""
+    return WORD.findall(text.lower().replace("ß", "ss"))

@@ -59,8 +59,12 @@ def test_leaks(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as item_id", "2 as tiles")
     i = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 as doc_id")
     want = {(x, y) for x, t in docs if t for y, s in items if s and brute(t.lower().split(), s.split()) or t and s and leakage.tiles(leakage.words(s), leakage.words(t))}
-    for block in (10**6, 60):
-        assert {(x["doc_id"], x["item_id"]) for x in leakage.leaks(d, i, block_words=block).collect()} == want
+    for size in (1 << 20, 1):  # with a filter of 64 bits nearly every window passes, and the join decides
+        assert {(x["doc_id"], x["item_id"]) for x in leakage.leaks(d, i, filter_words=size).collect()} == want
+    long = spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(40)))], "item_id bigint, text string")
+    swapped = spark.createDataFrame([(1, " ".join([f"w{k}" for k in range(20, 40)] + ["x"] + [f"w{k}" for k in range(18)])), (2, " ".join(f"w{k}" for k in range(14)))], "doc_id bigint, text string")
+    found = leakage.leaks(swapped, long, min_coverage=0.5).collect()
+    assert [(x["doc_id"], x["tiles"], x["reordered"], x["coverage"]) for x in found] == [(1, 2, True, 0.95)]
     assert leakage.leaks(d.where("false"), i).count() == 0 and leakage.leaks(d, i.where("false")).count() == 0
 
 

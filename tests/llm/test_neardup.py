@@ -34,6 +34,34 @@ def test_planted_edits(spark):
     want = brute(rows)
     assert got <= want and len(got) >= 0.99 * len(want) and want
     assert N.similar_pairs(df.where("false")).count() == 0
+    # bands over 1 or 3 texts are cut into blocks; nothing changes
+    for heavy in (1, 3):
+        assert {tuple(x) for x in N.similar_pairs(df, heavy=heavy).select("id_a", "id_b").collect()} == got
+    each = {r["id"]: (r["class_id"], r["links"]) for r in N.membership(df).collect()}
+    assert set(each) == {i for i, t in rows if t is not None and len(words(t)) >= N.MIN_WORDS}
+    assert each["copy1"] == each["copy2"] == each[rows[5][0]] and len({c for c, _ in each.values()}) == len({("".join(words(t)), *sorted(words(t))) for i, t in rows if i in each})
+    linked = {(min(each[a][0], each[b][0]), max(each[a][0], each[b][0])) for a, b in got}
+    assert sum(dict(each.values()).values()) == 2 * len(linked)
+
+
+def test_folding_is_one_everywhere(spark):
+    base = "die straße am fluss hat im winter oft viel schnee und eis auf dem ganzen weg"
+    df = spark.createDataFrame([("a", base), ("b", base.upper()), ("c", base.replace("winter", "sommer"))], "id string, content string")
+    assert {tuple(x) for x in N.similar_pairs(df).collect()} == {("a", "c"), ("b", "c")}
+
+
+def test_meeting_does_not_depend_on_batches():
+    r = np.random.default_rng(0)
+    keys = np.sort(r.integers(0, 40, 600))
+    rows = N.pd.DataFrame({"key": keys, "c1": np.arange(600), "c2": np.arange(600) * 7})
+    for size in (1, 7, 600):
+        out = N.pd.concat(N._meet(iter([rows.iloc[k : k + size] for k in range(0, 600, size)]), 15))
+        light, heavy = out[out["key"].isna()], out[out["key"].notna()]
+        count = rows.groupby("key")["c1"].transform("size")
+        assert sorted(heavy["a1"]) == sorted(rows["c1"][count > 15])
+        want = {(a, b) for _, g in rows[count <= 15].groupby("key") for k, a in enumerate(g["c1"]) for b in g["c1"].iloc[k + 1 :]}
+        assert {(min(a, b), max(a, b)) for a, b in zip(light["a1"], light["b1"])} == want
+        assert (heavy.groupby(["key", "block"]).size() <= 15).all()
 
 
 def test_sketch_estimates_probability_jaccard():
