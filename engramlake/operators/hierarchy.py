@@ -1,10 +1,14 @@
 """Parent-child links to full hierarchies, by bottom-up leaf peeling.
 
-Every round takes the nodes that have no child left, lets them send the size of their
-subtree to their parent, and removes them. Rounds are distributed while many nodes are
-left; the rest, once it is no more than ``residual_rows`` rows, is peeled the same way
-inside one task. What never becomes a leaf lies on a circle. In reverse order of
-peeling each node then takes root, depth and path from its parent.
+Leaves send their lists of descendants and the size of their subtree to their parent and are peeled
+off; what never becomes a leaf lies on a circle. In reverse order of peeling each node then takes root,
+depth and path from its parent.
+
+Nodes are first dealt to tasks by the top of their tree (pointer doubling, so a chain of n links takes
+log n jobs), and every task peels its trees one after the other. A tree of more than ``residual_rows``
+nodes would be too much for a task: such trees, and what lies on circles or leads into them, are peeled
+in rounds over all tasks, one level a round, until no more than ``residual_rows`` nodes are left. Both
+ways peel alike and give the same rows.
 
 Defined results:
 * ids are compared without regard to letter case and come out as stored;
@@ -24,10 +28,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from engramlake.runtime import cut
+from engramlake.runtime import cut, tasks_for
 
-#: Peeled in one task below this many rows (about 10 MB); a constant, whatever the input's size.
-RESIDUAL_ROWS = 32_768
+#: Nodes that one task peels at once (some 50 MB); a constant, whatever the input's size.
+RESIDUAL_ROWS = 200_000
+#: Path entries, or descendants, in one batch that a task puts out.
+BATCH = 200_000
 
 #: Within peeling a path below a circle starts at the node of the circle; turn is how many links that node is below the circle's smallest id.
 PLACED = "key string, id string, parent string, size bigint, root string, depth bigint, path array<string>, on_circle boolean, turn bigint"
@@ -81,44 +87,143 @@ def _round(alive: DataFrame, leaves: DataFrame | None) -> DataFrame:
     )
 
 
-def _peel_here(batches: Iterator[pd.DataFrame], paths: bool = True) -> Iterator[pd.DataFrame]:
-    """The same peeling for rows that fit one task."""
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    rows = pd.concat(parts, ignore_index=True)
-    key, ids, size = list(rows["key"]), dict(zip(rows["key"], rows["id"])), dict(zip(rows["key"], map(int, rows["size"])))
-    parent = {k: p for k, p in zip(rows["key"], rows["parent"]) if isinstance(p, str)}
-    kids = dict.fromkeys(key, 0)
-    for p in parent.values():
-        kids[p] += 1
-    peeled = [k for k in key if not kids[k]]
-    for k in peeled:  # grows while it is read: the order of peeling
-        if (p := parent.get(k)) is not None:
-            size[p] += size[k]
-            kids[p] -= 1
-            if not kids[p]:
-                peeled.append(p)
-    done = set(peeled)
-    place: dict[str, tuple] = {}
-    for k in key:
-        if k not in done and k not in place:
-            ring = [k]
-            while (n := parent[ring[-1]]) != k:
-                ring.append(n)
-            at = min(range(len(ring)), key=lambda n: ids[ring[n]])
-            place |= {x: (ids[ring[at]], -1, [ids[x]] if paths else None, True, (at - n) % len(ring)) for n, x in enumerate(ring)}
-    for k in reversed(peeled):
-        if (p := parent.get(k)) is None:
-            place[k] = (ids[k], 0, [ids[k]] if paths else None, False, None)
-        else:
-            root, depth, path, _, turn = place[p]
-            place[k] = (root, depth + 1 if depth >= 0 else -1, [*path, ids[k]] if paths else None, False, turn)
-    out = pd.DataFrame(
-        [(k, ids[k], parent.get(k), size[k], *place[k]) for k in key],
-        columns=["key", "id", "parent", "size", "root", "depth", "path", "on_circle", "turn"],
-    )
-    yield out.astype({"turn": "Int64"})
+class Peeled:
+    """A forest within one task: order of peeling, sizes, and places in reverse order."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.key, self.ids, self.size = list(rows["key"]), dict(zip(rows["key"], rows["id"])), dict(zip(rows["key"], map(int, rows["size"])))
+        self.parent = parent = {k: p for k, p in zip(rows["key"], rows["parent"]) if isinstance(p, str)}
+        kids = dict.fromkeys(self.key, 0)
+        for p in parent.values():
+            kids[p] += 1
+        self.order = [k for k in self.key if not kids[k]]
+        for k in self.order:  # grows while it is read
+            if (p := parent.get(k)) is not None:
+                self.size[p] += self.size[k]
+                kids[p] -= 1
+                if not kids[p]:
+                    self.order.append(p)
+        done = set(self.order)
+        self.rings: list[list[str]] = []
+        self.place: dict[str, tuple] = {}  # root, depth, on a circle, links from the circle's node up to the root
+        self.level: dict[str, int] = {}  # links up to the root, or to the circle
+        for k in self.key:
+            if k not in done and k not in self.place:
+                ring = [k]
+                while (n := parent[ring[-1]]) != k:
+                    ring.append(n)
+                at = min(range(len(ring)), key=lambda n: self.ids[ring[n]])
+                self.place |= {x: (self.ids[ring[at]], -1, True, (at - n) % len(ring)) for n, x in enumerate(ring)}
+                self.level |= dict.fromkeys(ring, 0)
+                self.rings.append(ring)
+        for k in reversed(self.order):
+            if (p := parent.get(k)) is None:
+                self.place[k], self.level[k] = (self.ids[k], 0, False, None), 0
+            else:
+                root, depth, _, turn = self.place[p]
+                self.place[k], self.level[k] = (root, depth + 1 if depth >= 0 else -1, False, turn), self.level[p] + 1
+
+    def path(self, k: str) -> list[str]:
+        """From the root, or from the circle's node, down to k."""
+        out = [k]
+        for _ in range(self.level[k]):
+            out.append(self.parent[out[-1]])
+        return [self.ids[x] for x in reversed(out)]
+
+    def placed(self, paths: bool) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        for n, k in enumerate(self.key):
+            root, depth, ring, turn = self.place[k]
+            rows.append((k, self.ids[k], self.parent.get(k), self.size[k], root, depth, self.path(k) if paths else None, ring, turn))
+            held += self.level[k] + 1 if paths else 1
+            if held >= BATCH or n == len(self.key) - 1:
+                yield pd.DataFrame(rows, columns=["key", "id", "parent", "size", "root", "depth", "path", "on_circle", "turn"]).astype({"turn": "Int64"})
+                rows, held = [], 0
+
+    def lists(self) -> Iterator[pd.DataFrame]:
+        """id, descendant, distance: lists go from leaf to parent, so each node is in one waiting list at a time."""
+        below: dict[str, list[str]] = {}
+        rows: list[tuple] = []
+        for k in self.order:
+            mine = below.pop(k, [])
+            rows += [(self.ids[k], self.ids[d], self.level[d] - self.level[k]) for d in mine]
+            if (p := self.parent.get(k)) is not None:
+                mine.append(k)
+                if len(mine) > len(kept := below.get(p, [])):  # the shorter list is copied
+                    mine, kept = kept, mine
+                kept += mine
+                below[p] = kept
+            if len(rows) >= BATCH:
+                yield pd.DataFrame(rows, columns=["id", "descendant", "distance"])
+                rows = []
+        for ring in self.rings:
+            for n, k in enumerate(ring):  # ring[n + 1] is the parent of ring[n]
+                for up in range(len(ring)):
+                    of = self.ids[ring[(n + up) % len(ring)]]
+                    rows += [(of, self.ids[d], self.level[d] + up) for d in below.get(k, [])]
+                    rows += [(of, self.ids[k], up)] if up else []
+                    if len(rows) >= BATCH:
+                        yield pd.DataFrame(rows, columns=["id", "descendant", "distance"])
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["id", "descendant", "distance"])
+
+
+def _forests(batches: Iterator[pd.DataFrame], top: str | None) -> Iterator[Peeled]:
+    """Whole trees at a time from rows sorted by top; all rows at once without."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        if top is not None and held and b[top].iloc[-1] != held[-1][top].iloc[-1]:
+            last = b[top].iloc[-1]
+            held.append(b[b[top] != last])
+            yield Peeled(pd.concat(held, ignore_index=True))
+            held, b = [], b[b[top] == last]
+        held.append(b)
+    if held:
+        yield Peeled(pd.concat(held, ignore_index=True))
+
+
+def _peel_in_task(rows: DataFrame, top: str | None, paths: bool) -> DataFrame:
+    return rows.mapInPandas(lambda batches: (out for f in _forests(batches, top) for out in f.placed(paths)), PLACED)
+
+
+def _lists_in_task(rows: DataFrame, top: str | None) -> DataFrame:
+    return rows.mapInPandas(lambda batches: (out for f in _forests(batches, top) for out in f.lists()), "id string, descendant string, distance bigint")
+
+
+def by_tree(linked: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows with top, whole trees sorted within tasks; rows of larger trees and of circles), either None if there are none.
+
+    Pointer doubling: each job doubles how far up a row looks; rows that reach a root are done. A job in which
+    none gets there leaves only rows on circles or below them.
+    """
+    at = cut(linked.select("key", F.coalesce("parent", "key").alias("to"), F.col("parent").isNull().alias("end")))
+    done, left = [at.where("end")], at.where("not end").count()
+    while left:
+        ahead = cut(
+            at.where("not end").alias("a").join(at.alias("b"), F.expr("a.to = b.key")).select(F.col("a.key").alias("key"), F.col("b.to").alias("to"), F.col("b.end").alias("end"))
+        )
+        done.append(ahead.where("end"))
+        still = ahead.where("not end").count()
+        if still == left:
+            break
+        left, at = still, ahead.unionByName(at.where("end"))
+    tops = done[0]
+    for d in done[1:]:
+        tops = tops.unionByName(d)
+    rows = linked.join(tops.select("key", F.col("to").alias("top")), "key", "left")
+    count = tops.groupBy("to").count().withColumnRenamed("to", "top")
+    large = cut(count.where(F.col("count") > most).select("top"))
+    some_large = not large.isEmpty()
+    small = rows.where("top is not null")
+    rest = rows.where("top is null").drop("top") if left else None
+    if some_large:
+        rest = small.join(large, "top", "left_semi").drop("top") if rest is None else small.join(large, "top", "left_semi").drop("top").unionByName(rest)
+        small = small.join(large, "top", "left_anti")
+    dealt = small.select("key", "id", "parent", "size", "top").repartition(tasks_for(linked), "top").sortWithinPartitions("top")
+    return dealt, rest
 
 
 def _circles(rows: DataFrame, paths: bool = True) -> DataFrame:
@@ -143,10 +248,18 @@ def _circles(rows: DataFrame, paths: bool = True) -> DataFrame:
 
 
 def peel(linked: DataFrame, residual_rows: int = RESIDUAL_ROWS, paths: bool = True) -> DataFrame:
-    """Places every row of linked_nodes (runs one job per distributed round).
+    """Places every row of linked_nodes (runs log of the depth jobs, and one per level of trees too large for a task).
 
     Paths take room in the square of the depth; without them a chain may be as long as it likes.
     """
+    linked = cut(linked)
+    dealt, rest = by_tree(linked, residual_rows)
+    placed = _peel_in_task(dealt, "top", paths)
+    return placed if rest is None else placed.unionByName(_peel_rounds(rest, residual_rows, paths))
+
+
+def _peel_rounds(linked: DataFrame, residual_rows: int, paths: bool) -> DataFrame:
+    """The same in rounds over all tasks, until what is left fits one."""
     alive, leaves, rounds, count = cut(linked), None, [], None
     while True:
         count = alive.count()
@@ -162,7 +275,7 @@ def peel(linked: DataFrame, residual_rows: int = RESIDUAL_ROWS, paths: bool = Tr
     if count > residual_rows:
         placed = _circles(rest, paths)
     else:
-        placed = rest.coalesce(1).mapInPandas(lambda batches: _peel_here(batches, paths), PLACED)
+        placed = _peel_in_task(rest.coalesce(1), None, paths)
     if not rounds:
         return placed
     placed = cut(placed)
@@ -186,7 +299,11 @@ def hierarchy(records: DataFrame, id_col: str = "id", parent_col: str = "superse
     """Every node: id, parent, root, depth, path (root first), subtree_size, on_circle, into_circle; for nodes into a circle
     branch, from the node of the circle down to the node itself, and turn, the links from that node of the circle up to the root."""
     nodes = nodes_of(records, id_col, parent_col)
-    placed = peel(linked_nodes(nodes), residual_rows).select("key", F.col("parent").alias("up"), "size", "root", "depth", "path", "on_circle", "turn")
+    return _shown(nodes, peel(linked_nodes(nodes), residual_rows))
+
+
+def _shown(nodes: DataFrame, peeled: DataFrame) -> DataFrame:
+    placed = peeled.select("key", F.col("parent").alias("up"), "size", "root", "depth", "path", "on_circle", "turn")
     return nodes.select("key", "id").join(placed, "key", "left").select(
         "id", F.col("up").alias("parent"), F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"),
         F.when(F.col("depth").isNull(), F.array("id")).when(F.col("depth") >= 0, F.col("path")).alias("path"),
@@ -202,8 +319,21 @@ def found(records: DataFrame, residual_rows: int = RESIDUAL_ROWS) -> DataFrame:
     return peel(linked_nodes(nodes_of(records)), residual_rows, paths=False).where("parent is not null").select("id", "root", "depth")
 
 
+def successors(records: DataFrame, id_col: str = "id", parent_col: str = "supersedes", residual_rows: int = RESIDUAL_ROWS) -> DataFrame:
+    """id, descendant, distance, from the lists that leaves send to their parents; of trees too large for a task from their paths."""
+    linked = cut(linked_nodes(nodes_of(records, id_col, parent_col)))
+    dealt, rest = by_tree(linked, residual_rows)
+    out = _lists_in_task(dealt, "top")
+    if rest is None:
+        return out
+    rest = cut(rest)
+    if rest.count() <= residual_rows:
+        return out.unionByName(_lists_in_task(rest.coalesce(1), None))
+    return out.unionByName(descendants(_shown(rest, _peel_rounds(rest, residual_rows, True))))
+
+
 def descendants(placed: DataFrame) -> DataFrame:
-    """id, descendant, distance: one row per pair, so that a hub never becomes one long array.
+    """id, descendant, distance of hierarchy's rows: one row per pair, so that a hub never becomes one long array.
 
     On a circle distance is the fewest links from the descendant up to id.
     """

@@ -25,7 +25,7 @@ def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.hierarchy(table(spark, sf_dir, "asper_record")))
+    return hierarchy.successors(table(spark, sf_dir, "asper_record"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ def pairs(spark, rows, bound):
     df = spark.createDataFrame(rows, "id string, supersedes string")
     got = [tuple(r) for r in H.descendants(H.hierarchy(df, residual_rows=bound)).collect()]
     assert len(got) == len(set(got))
+    sent = [tuple(r) for r in H.successors(df, residual_rows=bound).collect()]
+    assert sorted(sent) == sorted(got)
     return set(got)
 
 
@@ -41,3 +43,12 @@ def test_random_successors(spark, bound):
     ring = [f"r{k}" for k in r.sample(range(10), 9)]
     rows += [(x, ring[k - 1]) for k, x in enumerate(ring)] + [(f"w{k}", r.choice([*ring, *(f"w{j}" for j in range(k))])) for k in range(12)]
     assert pairs(spark, rows, bound) == brute(rows)
+
+
+def test_a_chain_of_forty_thousand(spark):
+    rows = spark.range(40_000).selectExpr("concat('c', id) as id", "if(id = 0, null, concat('C', id - 1)) as supersedes")
+    got = H.found(rows)
+    assert got.count() == 39_999
+    assert [tuple(r) for r in got.where("depth >= 39998").orderBy("depth").collect()] == [("c39998", "c0", 39_998), ("c39999", "c0", 39_999)]
+    short = rows.where("id < 'c2' and length(id) <= 4")  # c0, c1, c10 to c199 of three digits or less
+    assert H.successors(short).where("id = 'c100'").count() == 99
