@@ -94,7 +94,7 @@ ORACLES = {
     "p1_found": _WALK
     + "SELECT id, CASE WHEN ring IS NULL THEN seen[len(seen)] ELSE list_min(ring) END AS root, CAST(CASE WHEN ring IS NULL THEN len(seen) - 1 ELSE -1 END AS BIGINT) AS depth FROM ends WHERE has_parent",
     "p1_descendants": _WALK
-    + "SELECT DISTINCT seen[i] AS id, e.id AS descendant, CAST(i - 1 AS BIGINT) AS distance FROM ends e, unnest(range(2, len(seen) + 1)) AS u(i) WHERE ring IS NULL",
+    + "SELECT DISTINCT seen[i] AS id, e.id AS descendant, CAST(i - 1 AS BIGINT) AS distance FROM ends e, unnest(range(2, len(seen) + CASE WHEN ring IS NULL THEN 1 ELSE 0 END)) AS u(i)",
     "p1_hierarchy": _WALK
     + """, sizes AS (SELECT a AS id, count(DISTINCT id) AS n FROM (SELECT id, unnest(CASE WHEN ring IS NULL THEN seen ELSE list_distinct(seen) END) AS a FROM ends) GROUP BY a)
 SELECT e.id, CASE WHEN ring IS NULL THEN seen[len(seen)] ELSE list_min(ring) END AS root, CAST(CASE WHEN ring IS NULL THEN len(seen) - 1 ELSE -1 END AS BIGINT) AS depth,
