@@ -41,6 +41,8 @@ class Memory:
         self.counts = Counter(ops_applied=0, ops_rejected=0, cycles_run=0, recalls_served=0, turns_dropped=0)
         self.last_cycle: int | None = None
         self.last_review: int | None = None
+        #: Says which model the kept vectors are of.
+        self.model = {"name": getattr(embed, "__name__", "embed") if embed else "hashed words", "prefix": self.cfg.passage_prefix}
 
     # reading -----------------------------------------------------------------------------------------
 
@@ -50,8 +52,20 @@ class Memory:
     def _one(self, record_id: str) -> Row | None:
         return self.records().where(F.col("id") == record_id.lower()).first()
 
+    def _vectors(self, records: DataFrame) -> DataFrame:
+        """id, content_hash, vec of active records: kept vectors, and new ones only for what has none of its content."""
+        kept = self.store.embeddings(self.model)
+        if kept is None:
+            return embedding.embed(records, self.embed, self.cfg.passage_prefix)
+        return embedding.refreshed(kept, records, self.embed, self.cfg.passage_prefix)
+
     def _index(self) -> DataFrame:
-        return self.records().where("not deprecated").withColumn("vec", embedding.embedder(self.embed, self.cfg.passage_prefix)(F.col("content")))
+        records = self.records().where("not deprecated")
+        return records.join(self._vectors(records).select("id", "vec"), "id")
+
+    def keep_vectors(self) -> None:
+        """Writes the vectors of all active records to the store, so that later searches only embed what has changed since."""
+        self.store.save_embeddings(self._vectors(self.records().where("not deprecated")), self.model)
 
     def _vector(self, question: str) -> list[float]:
         if self.embed is None:
@@ -243,6 +257,7 @@ class Memory:
         self.flush_access()
         if full or self.store.compaction_due():
             self.store.compact(now)
+            self.keep_vectors()
 
     def flush(self, full: bool = False) -> None:
         self.tick(force=True, full=full)
@@ -251,6 +266,7 @@ class Memory:
         self.flush_access()
         if self.store.ops().limit(1).count():
             self.store.compact(self.clock())
+            self.keep_vectors()
 
     def _reject(self) -> bool:
         self.counts["ops_rejected"] += 1

@@ -9,8 +9,9 @@ sequence; readers anti-join rows against later delete keys. A sequence is the pa
   data row; a deprecation that still stands after the journal appends a delete with a
   sequence above every row;
 * whether an op takes effect depends on the ops before it. A key may own a large share
-  of all ops, so its ops are split by time into ``slices`` ranges with the same number of
+  of all ops, so its ops are split by time into ``slices`` ranges with about the same number of
   ops each; a slice is sorted alone, and what one slice leaves to the next is one row.
+* both sets are written to the shared folder, each to files of its own, and read from there.
 
 Defined results: ops with null ``at``, unknown kind, no id or no payload (insert
 without record or its content, update without content) have no effect; an op repeated
@@ -26,7 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from engramlake.runtime import shuffle_partitions
+from engramlake.operators.running import sliced
+from engramlake.runtime import cut
 
 MILLIS_ABOVE = 100_000_000_000
 FIRST, LAST = -(2**63), 2**63 - 1
@@ -60,36 +62,24 @@ def valid_ops(ops: DataFrame) -> DataFrame:
     ).where("id is not null and id <> ''")
 
 
-def _slice_of(ops: DataFrame, slices: int) -> Column:
-    """The number of a row's time slice; edges are quantiles of all ops (one small job)."""
-    edges = ops.agg(F.percentile_approx("at_s", [k / slices for k in range(1, slices)], 1000)).first()[0] or []
-    out = F
-    for k, edge in enumerate(sorted(set(edges))):
-        out = out.when(F.col("at_s") <= edge, k)
-    return out.otherwise(len(edges)) if edges else F.lit(0)
-
-
 def change_files(base: DataFrame, ops: DataFrame, slices: int | None = None) -> ChangeFiles:
-    """Writes the journal as data rows and equality deletes (one small job for the slices' edges)."""
-    slices = slices or max(16, 2 * shuffle_partitions(ops.sparkSession))
-    valid = valid_ops(ops)
-    at_slice = _slice_of(valid, slices)
+    """Writes the journal as data rows and equality deletes (one job for the slices, one for the files)."""
+    valid = sliced(valid_ops(ops), "at_s", slices, "slice")
     # A key exists from its base row, else from its first insert; later inserts do nothing.
     base_rows = base.where("id is not null and id <> ''").select(
-        F.lower("id").alias("id"), F.lit(FIRST).alias("at_s"), F.lit(FIRST).alias("seq"), F.coalesce("deprecated", F.lit(False)).alias("off")
+        F.lower("id").alias("id"), F.lit(FIRST).alias("at_s"), F.lit(FIRST).alias("seq"), F.coalesce("deprecated", F.lit(False)).alias("off"), F.lit(-1).alias("slice")
     )
-    inserts = valid.where("kind = 'insert'").select("id", "at_s", "seq", F.col("starts_deprecated").alias("off"))
+    inserts = valid.where("kind = 'insert'").select("id", "at_s", "seq", F.col("starts_deprecated").alias("off"), "slice")
     starts = (
         base_rows.unionByName(inserts)
         .groupBy("id")
-        .agg(F.min(F.struct("at_s", "seq", "off")).alias("s"))
-        .select("id", F.lit("start").alias("kind"), "s.at_s", F.col("s.at_s").alias("at"), "s.seq", F.lit(0).cast("bigint").alias("digest"), F.lit(0).alias("digest2"), F.col("s.off").alias("starts_deprecated"))
+        .agg(F.min(F.struct("at_s", "seq", "off", "slice")).alias("s"))
+        .select("id", F.lit("start").alias("kind"), "s.at_s", F.col("s.at_s").alias("at"), "s.seq", F.lit(0).cast("bigint").alias("digest"), F.lit(0).alias("digest2"), F.col("s.off").alias("starts_deprecated"), "s.slice")
     )
     per_slice = ["id", "slice"]
     events = (
         valid.where("kind <> 'insert'")
         .unionByName(starts)
-        .withColumn("slice", F.when(F.col("at_s") == FIRST, -1).otherwise(at_slice))
         .repartition(*per_slice)
         .groupBy(*per_slice, "kind", "at_s", "at", "digest", "digest2", "starts_deprecated")
         .agg(F.min("seq").alias("seq"))
@@ -119,11 +109,12 @@ def change_files(base: DataFrame, ops: DataFrame, slices: int | None = None) ->
         .select("id", "e.at_s", "e.seq", "e.kind")
     )
     standing = carried.groupBy("id").agg(F.max_by("status_end", F.when(F.col("status_end").isNotNull(), F.col("slice"))).alias("up")).where("not up")
-    deletes = effective.where("kind = 'update'").select("id", "at_s", "seq").unionByName(
-        standing.select("id", F.lit(LAST).alias("at_s"), F.lit(LAST).alias("seq"))
-    )
-    data = effective.select("id", "at_s", F.when(F.col("at_s") != FIRST, F.col("seq")).alias("seq"))
-    return ChangeFiles(data, deletes)
+    row = lambda file, seq: F.struct(F.lit(file).alias("file"), "id", "at_s", seq.alias("seq"))
+    appended = effective.select(
+        F.explode(F.array_compact(F.array(row("data", F.when(F.col("at_s") != FIRST, F.col("seq"))), F.when(F.col("kind") == "update", row("delete", F.col("seq")))))).alias("r")
+    ).select("r.*")
+    files = cut(appended.unionByName(standing.select(F.lit("delete").alias("file"), "id", F.lit(LAST).alias("at_s"), F.lit(LAST).alias("seq"))), partition_by=["file"])
+    return ChangeFiles(files.where("file = 'data'").drop("file"), files.where("file = 'delete'").drop("file"))
 
 
 def read_live(files: ChangeFiles) -> DataFrame:

@@ -54,8 +54,8 @@ def quorum(proposals: DataFrame, window: int, slices: int | None = None) -> Data
     """
     keys = ["id", "kind", "hash"]
     once = proposals.select(*keys, "at").distinct()
-    gaps = running(once, keys, ["at"], "at", previous={"before": F.col("at")}, slices=slices)
-    parted = running(gaps.withColumn("opens", F.coalesce(F.col("at") - F.col("before") > window, F.lit(True)).cast("int")), keys, ["at"], "at", total={"stretch": F.col("opens")}, slices=slices)
+    gaps = running(once, keys, ["at"], "at", previous={"before": F.col("at")}, slices=slices, keep_slices=True)
+    parted = running(gaps.withColumn("opens", F.coalesce(F.col("at") - F.col("before") > window, F.lit(True)).cast("int")), keys, ["at"], "at", total={"stretch": F.col("opens")}, slices=slices, keep_slices=True)
     placed = running(parted, [*keys, "stretch"], ["at"], "at", total={"place": F.lit(1)}, slices=slices)
     return placed.select(*keys, "at", (F.col("place") % 2 == 0).alias("confirmed"))
 

@@ -23,9 +23,9 @@ def embedder(model: Callable[[list[str]], list] | None = None, prefix: str = "")
     return lambda c: vectors.normalized(embed(c))
 
 
-def embed(records: DataFrame, model: Callable | None = None) -> DataFrame:
+def embed(records: DataFrame, model: Callable | None = None, prefix: str = "") -> DataFrame:
     """id, content_hash, vec of active records."""
-    return records.where("not deprecated").select("id", fnv1a64(F.col("content")).alias("content_hash"), embedder(model)(F.col("content")).alias("vec"))
+    return records.where("not deprecated").select("id", fnv1a64(F.col("content")).alias("content_hash"), embedder(model, prefix)(F.col("content")).alias("vec"))
 
 
 def fresh(cache: DataFrame, records: DataFrame) -> DataFrame:
@@ -40,10 +40,10 @@ def stale(cache: DataFrame, records: DataFrame) -> DataFrame:
     return live.join(cache.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
 
 
-def refreshed(cache: DataFrame, records: DataFrame, model: Callable | None = None) -> DataFrame:
+def refreshed(cache: DataFrame, records: DataFrame, model: Callable | None = None, prefix: str = "") -> DataFrame:
     """The cache after maintenance: fresh vectors kept, only stale records embedded."""
     todo = records.join(stale(cache, records).select("id"), "id", "left_semi")
-    return fresh(cache, records).unionByName(embed(todo, model))
+    return fresh(cache, records).select("id", "content_hash", "vec").unionByName(embed(todo, model, prefix))
 
 
 def put(cache: DataFrame, rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from engramlake.functions.text import data_line, token_heuristic
+from engramlake.operators.running import running
 
 # Fixed value: the prompt's built-in frame.
 TEMPLATE = """\
@@ -52,13 +53,15 @@ def transcript_line(role: Column, text: Column) -> Column:
 def transcript_tail(turns: DataFrame, budget: int) -> DataFrame:
     """The newest turns of each session that fit the budget (the newest always does): session, seq, line, tokens.
 
-    A line costs a token at least, so only the newest ``budget`` turns are ranked at all.
+    One session may have a large share of all turns, so what lines cost is summed from the end in slices of seq
+    (see running); only the turns that fit are then fetched with their text. Rows without session or seq are no turns.
     """
-    newest = W.partitionBy("session").orderBy(F.desc("seq"))
-    recent = turns.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= budget)
-    lines = recent.withColumn("line", transcript_line(F.col("role"), F.col("text")))
-    used = F.sum("tokens").over(W.partitionBy("session").orderBy("rn").rowsBetween(W.unboundedPreceding, 0))
-    return lines.withColumn("tokens", token_heuristic(F.col("line"))).withColumn("used", used).where((F.col("used") <= budget) | (F.col("rn") == 1)).select("session", "seq", "line", "tokens")
+    said = turns.where("session is not null and seq is not null").withColumn("line", transcript_line(F.col("role"), F.col("text")))
+    cost = said.select("session", "seq", (-F.col("seq")).alias("back"), token_heuristic(F.col("line")).alias("tokens"))
+    used = running(cost, ["session"], ["back"], "back", total={"used": F.col("tokens")})
+    # every line costs a token at least, so only the newest has used as much as it costs
+    fits = used.where((F.col("used") <= budget) | (F.col("used") == F.col("tokens"))).select("session", "seq", "tokens")
+    return said.join(fits, ["session", "seq"]).select("session", "seq", "line", "tokens")
 
 
 def joined(lines: DataFrame, order: str, text: str, keys: Sequence[str] = (), name: str = "block") -> DataFrame:

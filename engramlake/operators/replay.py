@@ -121,7 +121,7 @@ def op_outcomes(base: DataFrame, ops: DataFrame, now: int, max_chars: int = 500,
     one = running(
         events, ["id"], ["seq"], "seq",
         total={"begun": F.when(begins & (F.length(F.coalesce("content", F.lit(""))) <= max_chars), 1).otherwise(0)},
-        last={"lock": F.when(kind.isin("start", "set_locked"), F.col("value"))}, slices=slices,
+        last={"lock": F.when(kind.isin("start", "set_locked"), F.col("value"))}, slices=slices, keep_slices=True,
     )
     exists = (F.col("begun") > 0) & ~((F.col("kind") == "insert") & (F.col("begun") == 1))
     locked = F.coalesce("lock", F.lit(False))

@@ -1,7 +1,7 @@
 """Running values along a key's rows, where one key may own a large share of all rows.
 
-A plain window sends all rows of a key to one task. Here rows are cut by ranges of the order column
-into slices (quantiles over all rows, so that no slice of a key is large), each slice runs alone, and
+A plain window sends all rows of a key to one task. Here rows are dealt to ranges of the order column
+(slices with about as many rows each, so that no slice of a key is large), each slice runs alone, and
 what earlier slices leave behind is joined on: one row for each key and slice.
 """
 
@@ -14,27 +14,26 @@ from engramlake.runtime import cut, shuffle_partitions
 
 
 def sliced(rows: DataFrame, by: str, slices: int | None = None, name: str = "_slice") -> DataFrame:
-    """rows with the number of their slice of column by (one small job for the edges)."""
+    """rows with the number of their slice of column by; equal values share a slice, nulls are in the first.
+
+    The rows go through one range exchange and are written once to the shared folder, as ranges may be drawn
+    otherwise when computed again; so pass only the columns that are needed.
+    """
     n = slices or max(16, 2 * shuffle_partitions(rows.sparkSession))
-    edges = rows.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 1000)).first()[0] or []
-    at: Column | None = None
-    edges = sorted(set(edges))
-    for k, e in enumerate(edges):
-        at = (F.when if at is None else at.when)(F.col(by) <= e, k)
-    return rows.withColumn(name, F.lit(0) if at is None else at.otherwise(len(edges)))
+    return cut(rows.repartitionByRange(n, by).withColumn(name, F.spark_partition_id()))
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], slice_by: str, last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, previous: dict[str, Column] | None = None, slices: int | None = None) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], order: list[str], slice_by: str, last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, previous: dict[str, Column] | None = None, slices: int | None = None, keep_slices: bool = False) -> DataFrame:
     """rows with, for each name: the last non-null value so far (last), the sum so far (total), both with the
     row itself, or the value of the row before (previous). slice_by is the first of the order columns.
 
-    rows are written once to the shared folder (they are read for the slices' edges, inside the slices and for
-    what slices leave behind), so pass only the columns that are needed.
+    rows are written once to the shared folder (see sliced). With keep_slices the result has column _slice, and
+    a further call on it uses the same slices.
     """
-    rows = cut(rows)
     last, total, previous = last or {}, total or {}, previous or {}
     part = [*keys, "_slice"]
-    data = sliced(rows, slice_by, slices)
+    data = cut(rows) if "_slice" in rows.columns else sliced(rows, slice_by, slices)
+    names = [c for c in rows.columns if c != "_slice"] + ["_slice"] * keep_slices
     for k, c in (last | total | previous).items():
         data = data.withColumn(f"_{k}", c)
     here = W.partitionBy(*part).orderBy(*order)
@@ -66,7 +65,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], slice_by: str, l
         + [F.coalesce(F.coalesce(f"{k}_in", F.lit(0)) + F.coalesce(f"{k}_before", F.lit(0)), F.lit(0)).alias(k) for k in total]
         + [F.when(F.col("_rn") == 1, F.col(f"{k}_before")).otherwise(F.col(f"{k}_in")).alias(k) for k in previous]
     )
-    return out.select(*rows.columns, *results)
+    return out.select(*names, *results)
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:

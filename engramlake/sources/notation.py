@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from engramlake.operators.running import numbered
+from engramlake.runtime import cut
+
 from engramlake.config import duration_seconds
 from engramlake.functions.text import decode_escapes
 
@@ -180,7 +183,7 @@ def _op(o: object) -> dict:
 
 
 def _parsed(tag: str, build):
-    """A column function: text -> JSON of the one tagged value in it, or of {"_bad": reason}."""
+    """A column function: text -> JSON of the one tagged value in it, or of {"_bad": reason}, with _torn if it can't even be parsed."""
 
     @F.pandas_udf(T.StringType())
     def parse(texts: pd.Series) -> pd.Series:
@@ -188,6 +191,10 @@ def _parsed(tag: str, build):
         for t in texts:
             try:
                 found = list(values(t or ""))
+            except NotationError as e:
+                out.append(json.dumps({"_bad": str(e) or "unreadable", "_torn": True}))
+                continue
+            try:
                 if not found:
                     out.append(None)
                 elif len(found) > 1 or found[0][0] != tag:
@@ -204,23 +211,36 @@ def _parsed(tag: str, build):
 def read_section(spark: SparkSession, path: str) -> DataFrame:
     """Rows of RECORD with position, raw and bad (a reason, or null) of section files or folders of them."""
     raw = F.when(F.col("value").rlike(r"\A\s*(?:#|//)"), F.col("value")).otherwise(F.concat(F.lit("#memory"), F.col("value")))
-    rows = spark.read.option("lineSep", "\n#memory").text(path).select(F.monotonically_increasing_id().alias("position"), raw.alias("raw"))
+    rows = spark.read.option("lineSep", "\n#memory").option("recursiveFileLookup", "true").text(path).select(F.monotonically_increasing_id().alias("position"), raw.alias("raw"))
     parsed = rows.withColumn("j", _parsed("memory", _record)("raw")).where("j is not null")
     return parsed.select("position", "raw", F.from_json("j", RECORD + ", _bad string").alias("r")).select("position", "raw", "r.*").withColumnRenamed("_bad", "bad")
 
 
+def journal_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of OP with bad (a reason, or null) and torn: every line of a journal in its order, numbered by seq from 0.
+
+    A folder's files follow each other by path, which is the order of write_journal's appends; within a file the place counts.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("raw")
+    )
+    placed = numbered(lines.where("trim(raw) <> ''"), [F.col("file"), F.col("block"), F.col("row")])
+    parsed = placed.withColumn("j", _parsed("op", _op)("raw")).where("j is not null")
+    rows = parsed.select((F.col("place") - 1).alias("seq"), F.from_json("j", OP.replace("seq bigint, ", "") + ", _bad string, _torn boolean").alias("r")).select("seq", "r.*")
+    return rows.withColumnRenamed("_bad", "bad").withColumn("torn", F.coalesce("_torn", F.lit(False))).drop("_torn")
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of OP with raw and bad of a journal; seq is the place in the file.
+    """Rows of OP of a journal, in the order of seq.
 
-    Damage in the last line is a torn tail and is left out; damage before a good line raises.
+    A value that is no op, or an op that lacks something, is left out (journal_lines shows it). A last line that can't be
+    parsed is a torn tail and is left out; one that can't be parsed before a later line raises.
     """
-    rows = spark.read.text(path).where("trim(value) <> ''").select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("raw"))
-    parsed = rows.withColumn("j", _parsed("op", _op)("raw"))
-    ops = parsed.select("raw", F.from_json("j", OP.replace("seq bigint, ", "") + ", _bad string").alias("r"), "seq").select("seq", "r.*", "raw").withColumnRenamed("_bad", "bad")
-    ends = ops.agg(F.max(F.when(F.col("bad").isNull(), F.col("seq"))).alias("good"), F.min(F.when(F.col("bad").isNotNull(), F.col("seq"))).alias("torn")).first()
-    if ends["torn"] is not None and ends["good"] is not None and ends["torn"] < ends["good"]:
+    lines = cut(journal_lines(spark, path))
+    ends = lines.agg(F.max("seq").alias("last"), F.min(F.when(F.col("torn"), F.col("seq"))).alias("torn")).first()
+    if ends["torn"] is not None and ends["torn"] < ends["last"]:
         raise NotationError(f"{path}: damaged before its end")
-    return ops.where("bad is null").drop("bad", "raw")
+    return lines.where("bad is null").drop("bad", "torn")
 
 
 def _quoted(c: Column) -> Column:
@@ -269,5 +289,10 @@ def write_section(records: DataFrame, path: str) -> None:
 
 
 def write_journal(ops: DataFrame, path: str) -> None:
-    """Appends one op a line, in order of seq within this call."""
-    ops.orderBy("seq").select(op_text().alias("value")).write.mode("append").text(path)
+    """Appends one op a line, in order of seq within this call; every call adds a folder after those there are."""
+    spark = ops.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    n = max((int(d.split("-")[1]) + 1 for d in done if d.startswith("append-")), default=0)
+    ops.orderBy("seq").select(op_text().alias("value")).write.mode("errorifexists").text(f"{path}/append-{n:012d}")

@@ -4,8 +4,8 @@
     manifest.json            version, times, embedding model
     snapshots/<n>/records    parquet by section; snapshots/<n>/projects
     journal/<n>/batch=<k>    ops since snapshot n; writing a batch again replaces it
-    audit/, quarantine/      all ops ever; rows that could not be read
-    embeddings/<n>           vectors by id and content hash
+    audit/, quarantine/      all ops ever; rows that could not be read or repeat an id, whole, with the reason
+    embeddings/<n>           vectors by id and content hash; the manifest says which n is in force
 
 A compaction writes the next snapshot whole and then swaps _CURRENT by a rename; before the swap readers see
 the old snapshot with its journal, afterwards the new one, so nothing has to be rolled back.
@@ -20,9 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from engramlake.config import Config
 from engramlake.operators import records as R
 from engramlake.operators import replay as J
+from engramlake.operators.running import numbered
+from engramlake.runtime import cut
 from engramlake.sources.notation import OP, RECORD
 
 VERSION = 1
+#: Room for this many ops in a batch (2^40, which leaves 2^23 batches to a journal).
+BATCH_ROWS = 1 << 40
 
 
 class StoreError(RuntimeError):
@@ -74,8 +78,11 @@ class Store:
         """Starts a store from raw records; unreadable ones go to quarantine."""
         if self._exists("_CURRENT"):
             raise StoreError(f"{self.root}: there is a store already")
-        R.quarantine(records).write.mode("append").parquet(f"{self.root}/quarantine")
-        good = R.read(records, now)
+        rows = cut(records.withColumn("_position", F.monotonically_increasing_id()).withColumn("reason", R.problem()))
+        first = R.first_wins(rows.where("reason is null"), "_position").select("_position")
+        again = rows.where("reason is null").join(first, "_position", "left_anti").withColumn("reason", F.lit("id seen before"))
+        rows.where("reason is not null").unionByName(again).drop("_position").write.mode("append").parquet(f"{self.root}/quarantine")
+        good = cut(R.read(rows.join(first, "_position", "left_semi"), now))
         self._snapshot(0, good, R.registry(good, self._none(OP), projects if projects is not None else self._none("slug string")))
         self._write("manifest.json", json.dumps({"store_version": VERSION, "created_at": now, "last_compaction": None, "embedding": model}))
         self._write("_CURRENT", "0")
@@ -123,15 +130,16 @@ class Store:
     def append(self, ops: DataFrame, batch: int) -> None:
         """Ops of one batch, in their order; the same batch written again replaces itself.
 
-        seq is made of the batch, the partition and the row, so ops of a later batch come later.
+        seq is made of the batch and the row's place in it, so ops of a later batch come later.
         """
         types = {f.name: f.dataType for f in self._none(OP).schema}
         for name in self._columns():
             if name not in ops.columns:
                 ops = ops.withColumn(name, F.lit(None).cast(types[name]))
-        n = F.monotonically_increasing_id()
-        seq = F.lit(batch) * 1_000_000_000_000 + F.shiftrightunsigned(n, 33) * 10_000_000 + n.bitwiseAND((1 << 33) - 1)
-        rows = ops.select(seq.alias("seq"), *self._columns()[1:])
+        ops = ops.select(F.monotonically_increasing_id().alias("_n"), *self._columns()[1:])
+        if ops.rdd.getNumPartitions() > 1:  # within one partition the rows are numbered without gaps already
+            ops = numbered(ops, [F.col("_n")]).drop("_n").withColumnRenamed("place", "_n")
+        rows = ops.select((F.lit(batch) * BATCH_ROWS + F.col("_n")).alias("seq"), *self._columns()[1:])
         rows.write.mode("overwrite").parquet(f"{self.root}/journal/{self.current}/batch={batch}")
         if self.cfg.audit_log:
             rows.write.mode("overwrite").parquet(f"{self.root}/audit/snapshot={self.current}/batch={batch}")
@@ -155,12 +163,17 @@ class Store:
         return n
 
     def save_embeddings(self, vectors: DataFrame, model: dict) -> None:
-        vectors.write.mode("overwrite").parquet(f"{self.root}/embeddings/{self.current}")
-        self._write("manifest.json", json.dumps(self.manifest | {"embedding": model}))
+        """Written beside those in force, which vectors may be read from, then put in force by the manifest."""
+        manifest = self.manifest
+        n = (manifest.get("embeddings") or 0) + 1
+        vectors.write.mode("overwrite").parquet(f"{self.root}/embeddings/{n}")
+        self._write("manifest.json", json.dumps(manifest | {"embedding": model, "embeddings": n}))
+        if n > 2:
+            self._fs.delete(self._path(f"{self.root}/embeddings/{n - 2}"), True)
 
     def embeddings(self, model: dict) -> DataFrame | None:
         """Kept vectors, if they are of this model (else all have to be made anew)."""
-        for n in (self.current, self.current - 1):
-            if self.manifest.get("embedding") == model and self._exists(f"embeddings/{n}"):
-                return self.spark.read.parquet(f"{self.root}/embeddings/{n}")
-        return None
+        manifest = self.manifest
+        if manifest.get("embedding") != model or not manifest.get("embeddings"):
+            return None
+        return self.spark.read.parquet(f"{self.root}/embeddings/{manifest['embeddings']}")

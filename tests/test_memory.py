@@ -151,6 +151,14 @@ def test_notation(spark, tmp_path):
     notation.write_journal(ops.coalesce(1), str(tmp_path / "journal"))
     assert [r["kind"] for r in notation.read_journal(spark, str(tmp_path / "journal")).orderBy("seq").collect()] == ["insert", "access", "set_locked"]
     line = '#op { kind: "keep", at: t"2026-07-29T10:12:00Z", id: u"%s" }\n' % A
+    for n in (3, 1, 2):  # later appends come later, whatever the size of their files; what is no op is left out
+        more = spark.createDataFrame([op(k, "deprecate", T0, id=A, reason=f"{n}-{k}") for k in range(40 // n)], OP).repartition(3)
+        notation.write_journal(more, str(tmp_path / "long"))
+    (tmp_path / "long" / "append-000000000003").mkdir()
+    (tmp_path / "long" / "append-000000000003" / "part-00000.txt").write_text('#note "by hand"\n#op { kind: "keep" }\n' + line + '#op { kind: "ins')
+    got = notation.read_journal(spark, str(tmp_path / "long")).orderBy("seq").collect()
+    assert [r["reason"] for r in got] == [f"{n}-{k}" for n in (3, 1, 2) for k in range(40 // n)] + [None] and len({r["seq"] for r in got}) == len(got)
+    assert notation.journal_lines(spark, str(tmp_path / "long")).where("bad is not null").count() == 3
     (tmp_path / "torn").write_text(line + '#op { kind: "ins')
     assert notation.read_journal(spark, str(tmp_path / "torn")).count() == 1
     (tmp_path / "bad").write_text("{{{{\n" + line)
@@ -158,6 +166,36 @@ def test_notation(spark, tmp_path):
         notation.read_journal(spark, str(tmp_path / "bad"))
 
 
+def test_store_keeps_what_it_leaves_out(spark, tmp_path):
+    from engramlake.sources.store import Store
+
+    rows = frame(spark, record(A, content="first"), record(B), record(A.upper(), content="second"), record("no id", content="odd"))
+    store = Store(spark, str(tmp_path / "s")).create(rows.coalesce(1), T0)
+    assert {r["id"]: r["content"] for r in store.base().collect()} == {A: "first", B: "a fact"}
+    left = spark.read.parquet(str(tmp_path / "s" / "quarantine"))
+    assert sorted((r["content"], r["reason"]) for r in left.collect()) == [("odd", "id"), ("second", "id seen before")]
+    many = spark.range(0, 500, 1, 7).selectExpr("'update' as kind", "id as at", f"'{A}' as id", "string(id) as content")
+    for batch in (0, 1):
+        store.append(many, batch)
+    seq = [(r["seq"], r["content"]) for r in store.ops().orderBy("seq").collect()]
+    assert len({s for s, _ in seq}) == 1000 and [c for _, c in seq] == [str(k) for k in range(500)] * 2
+
+
+def test_kept_vectors_are_used(spark, tmp_path):
+    from engramlake.api import Memory
+    from engramlake.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s")).create(frame(spark, record(A, content="green tea"), record(B, content="a red bicycle")), T0)
+    m = Memory(store, clock=lambda: T0)
+    before = {r["id"]: r["rank"] for r in m.search("green tea").collect()}
+    m.keep_vectors()
+    assert store.embeddings(m.model).count() == 2 and {r["id"]: r["rank"] for r in m.search("green tea").collect()} == before
+    new = m.insert("context", "a pot of green tea")
+    m.keep_vectors()
+    assert new in {r["id"] for r in m.search("green tea").collect()} and store.embeddings(m.model).count() == 3
+    assert store.embeddings({"name": "another"}) is None
+
+
 class Host:
     """A clock, and a model that answers from a list."""
 
