@@ -18,6 +18,7 @@ from engramlake.functions import text, vectors
 from engramlake.functions.hashing import fnv1a64_many
 from engramlake.operators import curation, embedding, inject, protocol, retrieval
 from engramlake.operators import records as R
+from engramlake.runtime import cut
 from engramlake.sources.notation import OP
 from engramlake.sources.store import Store
 
@@ -60,7 +61,7 @@ class Memory:
         return embedding.refreshed(kept, records, self.embed, self.cfg.passage_prefix)
 
     def _index(self) -> DataFrame:
-        records = self.records().where("not deprecated")
+        records = cut(self.records().where("not deprecated"))
         return records.join(self._vectors(records).select("id", "vec"), "id")
 
     def keep_vectors(self) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from engramlake.functions import vectors
 from engramlake.functions.hashing import fnv1a64
+from engramlake.runtime import cut
 
 
 def embedder(model: Callable[[list[str]], list] | None = None, prefix: str = "") -> Callable[[Column], Column]:
@@ -41,9 +42,11 @@ def stale(cache: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def refreshed(cache: DataFrame, records: DataFrame, model: Callable | None = None, prefix: str = "") -> DataFrame:
-    """The cache after maintenance: fresh vectors kept, only stale records embedded."""
-    todo = records.join(stale(cache, records).select("id"), "id", "left_semi")
-    return fresh(cache, records).select("id", "content_hash", "vec").unionByName(embed(todo, model, prefix))
+    """The cache after maintenance: fresh vectors kept, only stale records embedded (one job looks which is which)."""
+    live = records.where("not deprecated").select("id", "content", fnv1a64(F.col("content")).alias("content_hash"))
+    met = cut(live.join(cache.select("id", "content_hash", "vec"), ["id", "content_hash"], "left"))
+    made = met.where("vec is null").select("id", "content_hash", embedder(model, prefix)(F.col("content")).alias("vec"))
+    return met.where("vec is not null").select("id", "content_hash", "vec").unionByName(made)
 
 
 def put(cache: DataFrame, rows: DataFrame) -> DataFrame:
