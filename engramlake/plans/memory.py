@@ -15,7 +15,7 @@ from engramlake.functions import hashing, scoring, text, time, vectors
 from engramlake.operators import curation, embedding, inject, protocol, replay as J, retrieval
 from engramlake.operators import records as R
 from engramlake.operators.running import numbered
-from engramlake.runtime import cut
+from engramlake.runtime import cut, tasks_for
 
 NOW = 1_785_319_920
 CFG = Config()
@@ -439,10 +439,11 @@ def related_union(s, d):
 
 def _related(s, d) -> DataFrame:
     """session, id, cos, handle: three memories for each turn, their union by id for each session, twelve at most."""
-    said = turns(s, d).select("session", F.concat_ws(":", "session", F.col("seq").cast("string")).alias("query_id"), vectors.bow_vector("text").alias("vec"))
-    said, known = cut(said), cut(index(s, d).where(R.matches_scan()).select("id", "vec"))  # read once a block of turns
-    hits = retrieval.nearest(known, said.select("query_id", "vec"), 3, floor=CFG.min_similarity)
-    return retrieval.union_best(hits.join(said.select("query_id", "session"), "query_id"), HANDLES, ["session"])
+    told = table(s, d, "asper_turn").select("session", "seq", "role", "text")
+    told = told.repartition(tasks_for(told, 1 << 20), "session", "seq")  # by the key turns are told apart by, in as many tasks as they deserve
+    said = curation.turns_accepted(told).select("session", "seq", vectors.bow_vector("text").alias("vec"))
+    hits = retrieval.nearest_of_all(index(s, d).where(R.matches_scan()), said, 3, floor=CFG.min_similarity)
+    return retrieval.union_best(hits, HANDLES, ["session"])
 
 
 @query()
