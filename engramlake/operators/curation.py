@@ -125,9 +125,9 @@ def review_prompt(lines: DataFrame) -> DataFrame:
     return _list(lines, "Candidate memories:\n", "Candidate memories: (none)\n").select(F.col("block").alias("prompt"))
 
 
-def turns_accepted(turns: DataFrame) -> DataFrame:
-    """Turns of user or assistant with a text; a turn delivered twice is one turn."""
-    return turns.where(F.col("role").isin("user", "assistant") & ~str_blank(F.col("text"))).dropDuplicates(["session", "seq"])
+def turns_accepted(turns: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Turns of user or assistant with a text; a turn delivered twice is one turn. also: columns that follow from session and seq."""
+    return turns.where(F.col("role").isin("user", "assistant") & ~str_blank(F.col("text"))).dropDuplicates(["session", "seq", *also])
 
 
 def turn_batches(turns: DataFrame, cfg: Config, slices: int | None = None) -> DataFrame:

@@ -440,9 +440,10 @@ def related_union(s, d):
 def _related(s, d) -> DataFrame:
     """session, id, cos, handle: three memories for each turn, their union by id for each session, twelve at most."""
     told = table(s, d, "asper_turn").select("session", "seq", "role", "text")
-    told = told.repartition(tasks_for(told, 1 << 20), "session", "seq")  # by the key turns are told apart by, in as many tasks as they deserve
-    said = curation.turns_accepted(told).select("session", "seq", vectors.bow_vector("text").alias("vec"))
-    hits = retrieval.nearest_of_all(index(s, d).where(R.matches_scan()), said, 3, floor=CFG.min_similarity)
+    # in as many tasks as they deserve: most sessions whole in one, so that what they share is found there, a long one in stretches
+    told = told.withColumn("stretch", F.floor(F.col("seq") / 64)).repartition(tasks_for(told, 1 << 20), "session", "stretch")
+    said = curation.turns_accepted(told, ["stretch"]).select("session", "seq", vectors.bow_vector("text").alias("vec"))
+    hits = retrieval.nearest_of_all(index(s, d).where(R.matches_scan()), said, 3, floor=CFG.min_similarity, per="session", cap=HANDLES)
     return retrieval.union_best(hits, HANDLES, ["session"])
 
 
@@ -523,7 +524,7 @@ def cycle_prompts(s, d):
 @query()
 def cycle_prompts_related(s, d):
     """The prompt of a cycle for each session with the memories related to its turns."""
-    shown = _related(s, d).join(memory(s, d).select("id", "section", "project", "content"), "id")
+    shown = _related(s, d).join(memory(s, d).where(R.matches_scan()).select("id", "section", "project", "content"), "id")
     return curation.cycle_prompts(turns(s, d), shown.select("session", "handle", "section", "project", "content"), CFG)
 
 
