@@ -22,18 +22,22 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from engramlake.llm.text import folded, words
+from engramlake.llm.text import words
 from engramlake.runtime import cut, tasks_for
 
 MIN_WORDS, THRESHOLD = 15, 0.7
 ROWS, BANDS = 6, 32
 _BLOCK = 8
+#: A word that so many of a batch's texts have, as often as ``_COUNTS`` at most, is worked out for all registers and kept; 2 ** ``_ROW`` are kept at once.
+OFTEN, _COUNTS, _ROW = 4, 4, 12
 #: Texts of one band that are paired up in one place.
 HEAVY = 256
 #: A class is two numbers.
@@ -48,42 +52,113 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(texts: list[str], registers: int) -> np.ndarray:
-    """ProbMinHash of each text: the hash of the winning word in each register (0: none, for a text without words)."""
-    found = [words(t) for t in texts]
+def _coded(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts given as words: how many words each has, the number of each word in the vocabulary, the vocabulary, its hashes."""
     lens = np.fromiter(map(len, found), np.int64, len(found))
-    n = len(found)
-    best, sig = np.full(n * registers, np.inf), np.zeros(n * registers, np.uint64)
-    if not lens.sum():
-        return sig.reshape(n, registers)
-    coded = pa.array([w for ws in found for w in ws], pa.string()).dictionary_encode()
+    coded = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
     vocab = coded.dictionary.to_pandas().to_numpy()
-    seed = pd.util.hash_array(vocab, categorize=False).astype(np.uint64)
+    return lens, coded.indices.to_numpy(), vocab, pd.util.hash_array(vocab, categorize=False).astype(np.uint64)
+
+
+class Arrivals:
+    """First arrivals in each register of words that many texts have, by word and count: times as integers (the bits of the
+    floats) whose last ``_ROW`` bits are the row, so that the least of a register also tells whose it is."""
+
+    def __init__(self, registers: int):
+        self.registers = registers
+        self.row: dict[tuple[int, int], int] = {}
+        self.first, self.by = np.empty((0, registers), np.int64), np.zeros(0, np.uint64)
+
+    def rows(self, seed: np.ndarray, count: np.ndarray, weight: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """The row of each word and count, -1 if it has none; what is met often gets one while there is room."""
+        names = list(zip(seed.tolist(), count.tolist()))
+        row = np.fromiter((self.row.get(x, -1) for x in names), np.int64, len(names))
+        new = np.flatnonzero(often & (row < 0))
+        if len(self.row) + len(new) > 1 << _ROW and (row >= 0).sum() < min(often.sum(), 1 << _ROW) // 2:  # other texts than before
+            self.__init__(self.registers)
+            row[:], new = -1, np.flatnonzero(often)
+        new = new[: (1 << _ROW) - len(self.row)]
+        if len(new):
+            row[new] = len(self.row) + np.arange(len(new))
+            self.row |= {names[k]: int(row[k]) for k in new}
+            once, at = np.unique(seed[new], return_inverse=True)
+            reached = np.concatenate([self._reached(once[k : k + 512]) for k in range(0, len(once), 512)])
+            when = (reached[at] / weight[new, None]).view(np.int64)
+            self.first = np.concatenate([self.first, when >> _ROW << _ROW | row[new, None]])
+            self.by = np.concatenate([self.by, seed[new]])
+        return row
+
+    def _reached(self, x: np.ndarray) -> np.ndarray:
+        first, clock, on = np.full((len(x), self.registers), np.inf), np.zeros(len(x)), np.arange(len(x))
+        while len(on):
+            x, t, reg = _next(x, clock, self.registers, 512)
+            cells = reg + (on * self.registers)[:, None]
+            fresh = np.isinf(first.reshape(-1)[cells])
+            first.reshape(-1)[cells[fresh][::-1]] = t[fresh][::-1]  # of several arrivals the first stays
+            more = np.isinf(first[on]).any(1)
+            x, clock, on = x[more], t[more, -1], on[more]
+        return first
+
+
+#: Kept from batch to batch and from task to task.
+arrivals = cache(Arrivals)
+
+
+def _next(x: np.ndarray, clock: np.ndarray, registers: int, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's next arrivals: its state after them, their times at rate 1, their registers."""
+    steps = np.arange(1, many + 1).astype(np.uint64) * _STEP
+    y = _mix(x[:, None] + steps)
+    t = -np.log1p(-(y >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+    t[:, 0] += clock
+    return x + steps[-1], np.cumsum(t, axis=1, out=t), (_mix(y) % np.uint64(registers)).astype(np.int64)
+
+
+def sketch(texts: list[str], registers: int) -> np.ndarray:
+    """ProbMinHash of each text: the hash of the winning word in each register (0: none, for a text without words)."""
+    n = len(texts)
+    lens, code, vocab, seed = _coded([words(t) for t in texts])
+    best, sig = np.full((n, registers), np.inf), np.zeros((n, registers), np.uint64)
+    if not len(code):
+        return sig
     long = np.fromiter((min(8, max(1, len(w) - 2)) for w in vocab), np.float64, len(vocab))
-    cell, count = np.unique(np.repeat(np.arange(n), lens) * len(vocab) + coded.indices.to_numpy(), return_counts=True)
+    cell, count = np.unique(np.repeat(np.arange(n), lens) * len(vocab) + code, return_counts=True)
     doc, word = np.divmod(cell, len(vocab))
     weight = count * long[word]
+    # Words that many texts have: what their arrivals are is known.
+    known, few = arrivals(registers), np.minimum(count, _COUNTS) - 1
+    met = np.bincount(word * _COUNTS + few, minlength=len(vocab) * _COUNTS)
+    met[np.unique((word * _COUNTS + few)[count > _COUNTS])] = 0
+    item = np.flatnonzero(met)
+    of, times = item // _COUNTS, item % _COUNTS + 1
+    rows = np.full(len(met), -1)
+    rows[item] = known.rows(seed[of], times, times * long[of], met[item] >= OFTEN)
+    row = rows[word * _COUNTS + few]
+    shared = row >= 0
+    row, ends = row[shared], np.searchsorted(doc[shared], np.arange(n + 1))
+    room, least = np.empty((max(1, int(np.diff(ends).max())), registers), np.int64), np.empty(registers, np.int64)
+    for k, (s, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        if s < e:
+            np.minimum.reduce(known.first.take(row[s:e], 0, room[: e - s], "clip"), 0, out=least)
+            best[k] = (least >> _ROW << _ROW).view(np.float64)
+            sig[k] = known.by[least & (1 << _ROW) - 1]
+    # The others send arrivals until they are too late for the text.
+    doc, word, weight = doc[~shared], word[~shared], weight[~shared]
+    best, sig = best.reshape(-1), sig.reshape(-1)
     clock, arrival = np.zeros(len(vocab)), seed.copy()
     while len(doc):
         used, local = np.unique(word, return_inverse=True)
-        t, reg = np.empty((len(used), _BLOCK)), np.empty((len(used), _BLOCK), np.int64)
-        x, at = arrival[used], clock[used]
-        for k in range(_BLOCK):
-            x = x + _STEP
-            y = _mix(x)
-            at = at - np.log1p(-(y >> np.uint64(11)).astype(np.float64) * 2.0**-53)
-            t[:, k], reg[:, k] = at, (_mix(y) % np.uint64(registers)).astype(np.int64)
-        arrival[used], clock[used] = x, at
+        arrival[used], t, reg = _next(arrival[used], clock[used], registers, _BLOCK)
+        clock[used] = t[:, -1]
         when = t[local] / weight[:, None]
         cells = (reg[local] + (doc * registers)[:, None]).ravel()
-        when = when.ravel()
+        last, when = when[:, -1], when.ravel()
         early = np.flatnonzero(when < best[cells])
         cells, when, by = cells[early], when[early], word[early // _BLOCK]
         np.minimum.at(best, cells, when)
         wins = best[cells] == when
         sig[cells[wins]] = seed[by[wins]]
         latest = best.reshape(n, registers).max(1)
-        on = at[local] / weight < latest[doc]
+        on = last < latest[doc]
         doc, word, weight = doc[on], word[on], weight[on]
     return sig.reshape(n, registers)
 
@@ -104,58 +179,80 @@ def similar(a: str, b: str) -> float:
     return common / max(1, ca.total() + cb.total() - common)
 
 
+def _hashed(batches: Iterator[pa.RecordBatch], min_words: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of enough words with c1 and c2; whole: also with content, n (words) and the bitmap m1, m2 in place of the id."""
+    for b in batches:
+        found = [words(t) if t is not None else None for t in b["content"].to_pylist()]
+        kept = np.fromiter((ws is not None and len(ws) >= min_words for ws in found), bool, len(found))
+        found = [ws for ws, ok in zip(found, kept) if ok]
+        lens, code, _, seed = _coded(found)
+        some = lens > 0
+        starts = (np.cumsum(lens) - lens)[some]
+
+        def over(f: np.ufunc, each: np.ndarray) -> np.ndarray:
+            all_ = np.zeros(len(lens), np.uint64)
+            if len(starts):
+                all_[some] = f.reduceat(each[code], starts)
+            return all_.view(np.int64)
+
+        letters = np.fromiter(map("".join, found), object, len(found))
+        made = {"c1": pd.util.hash_array(letters, categorize=False).view(np.int64), "c2": over(np.add, _mix(seed))}
+        rows = b.filter(pa.array(kept))
+        if whole:
+            bit, half = np.uint64(1) << (seed & np.uint64(63)), seed >> np.uint64(7) & np.uint64(1)
+            made |= {"content": rows["content"], "n": lens, "m1": over(np.bitwise_or, bit * (np.uint64(1) - half)), "m2": over(np.bitwise_or, bit * half)}
+        else:
+            made["id"] = rows["id"]
+        yield pa.RecordBatch.from_pydict(made)
+
+
 def _classes(records: DataFrame, id_col: str, content_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(members: c1, c2, id), (classes: c1, c2, content of one member); c1 is the hash of the letters."""
-    token = F.regexp_extract_all(folded(F.col(content_col)), F.lit(r"[\p{L}\p{N}]+"), 0)
-    kept = (
-        records.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("string").alias("id"), F.col(content_col).alias("content"), token.alias("words"))
-        .where(F.size("words") >= min_words)
-        .select("id", "content", F.xxhash64(F.array_join("words", "")).alias("c1"), F.xxhash64(F.sort_array("words")).alias("c2"))
+    """(members: c1, c2, id), (classes: c1, c2, content of one member, n, m1, m2); c1 is the hash of the letters, c2 of the bag of words."""
+    kept = records.where(F.col(id_col).isNotNull() & F.col(content_col).isNotNull())
+    members = kept.select(F.col(id_col).cast("string").alias("id"), F.col(content_col).alias("content")).mapInArrow(
+        lambda batches: _hashed(batches, min_words, False), "c1 bigint, c2 bigint, id string"
+    )
+    texts = kept.select(F.col(content_col).alias("content")).mapInArrow(
+        lambda batches: _hashed(batches, min_words, True), "c1 bigint, c2 bigint, content string, n bigint, m1 bigint, m2 bigint"
     )
     # By class alone, so that every later join on a class finds its side partitioned already, and as one
     # struct, so that all readers of the classes share one exchange whatever columns they need.
-    classes = kept.groupBy(*CLASS).agg(F.min(F.struct("content")).alias("c")).select(*CLASS, "c.content")
-    return kept.select(*CLASS, "id"), classes
+    classes = texts.groupBy(*CLASS).agg(F.min(F.struct("content", "n", "m1", "m2")).alias("c")).select(*CLASS, "c.*")
+    return members, classes
 
 
 def _meet(batches: Iterator[pd.DataFrame], heavy: int) -> Iterator[pd.DataFrame]:
     """Rows (key, c1, c2) sorted by key: the pairs of each key's classes; of keys with more than heavy rows each row instead, with its block."""
-    names = ["key", *CLASS]
-    held = pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
+    held = np.zeros((3, 0), np.int64)
     over: tuple[int, int] | None = None  # the key that is known to be heavy, and its rows so far
 
-    def out(a: pd.DataFrame, b: pd.DataFrame | None, key=None, block=None) -> pd.DataFrame:
-        n = len(a)
-        none = pd.array([None] * n, "Int64")
-        return pd.DataFrame({
-            "a1": a["c1"].to_numpy(), "a2": a["c2"].to_numpy(), "b1": none if b is None else b["c1"].to_numpy(), "b2": none if b is None else b["c2"].to_numpy(),
-            "key": none if key is None else key, "block": none if block is None else block,
-        })
-
-    def paired(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key, made = rows["key"].to_numpy(), []
-        for d in range(1, len(rows)):
-            at = np.flatnonzero(key[d:] == key[:-d])
+    def out(a: np.ndarray, b: np.ndarray | None, key=None, block=None) -> pd.DataFrame:
+        fill = lambda x: pd.arrays.IntegerArray(np.zeros(a.shape[1], np.int64) if x is None else x, np.full(a.shape[1], x is None))
+        b1, b2 = (None, None) if b is None else b
+        return pd.DataFrame({"a1": a[0], "a2": a[1], "b1": fill(b1), "b2": fill(b2), "key": fill(key), "block": fill(block)})
+
+    def paired(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        key, c1, _ = rows
+        at, made = np.arange(len(key)), []
+        for d in range(1, len(key)):
+            at = at[: np.searchsorted(at, len(key) - d)]
+            at = at[key[at] == key[at + d]]  # they have a row of their key d places on
             if not len(at):
                 break
-            x, y = rows.iloc[at], rows.iloc[at + d]
-            first = (x["c1"].to_numpy() < y["c1"].to_numpy()) | ((x["c1"].to_numpy() == y["c1"].to_numpy()) & (x["c2"].to_numpy() < y["c2"].to_numpy()))
-            differ = x["c1"].to_numpy() != y["c1"].to_numpy()  # same letters are no pair
-            for u, v, ok in ((x, y, first & differ), (y, x, ~first & differ)):
-                if ok.any():
-                    made.append(out(u[ok], v[ok]))
-        if made:
-            yield pd.concat(made)
-
-    def split(rows: pd.DataFrame, start: int) -> pd.DataFrame:
-        return out(rows, None, rows["key"].to_numpy(), (start + np.arange(len(rows))) // heavy)
+            ok = at[c1[at] != c1[at + d]]  # same letters are no pair
+            made.append(np.where(c1[ok] < c1[ok + d], (ok, ok + d), (ok + d, ok)))
+        if made and sum(m.shape[1] for m in made):
+            x, y = np.concatenate(made, axis=1)
+            yield out(rows[1:, x], rows[1:, y])
+
+    def split(rows: np.ndarray, start: int) -> pd.DataFrame:
+        return out(rows[1:], None, rows[0], (start + np.arange(rows.shape[1])) // heavy)
 
     for b in batches:
-        rows = pd.concat([held, b[names]], ignore_index=True) if len(held) else b[names].reset_index(drop=True)
-        if not len(rows):
+        rows = np.concatenate([held, [b[c].to_numpy() for c in ("key", *CLASS)]], axis=1)
+        key = rows[0]
+        if not len(key):
             continue
-        key = rows["key"].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([starts, [len(key)]]))
         big = size > heavy
@@ -163,18 +260,15 @@ def _meet(batches: Iterator[pd.DataFrame], heavy: int) -> Iterator[pd.DataFrame]
             big[0] = True
         for s, n in zip(starts[big], size[big]):
             done = over[1] if over is not None and over[0] == key[s] else 0
-            yield split(rows.iloc[s : s + n], done)
+            yield split(rows[:, s : s + n], done)
             over = (int(key[s]), done + int(n))
-        light = np.repeat(~big, size)
+        light = np.repeat(~big & (size > 1), size)
         tail = int(starts[-1]) if not big[-1] else len(key)  # the last key may go on in the next batch
-        here = rows.iloc[:tail][light[:tail]]
-        if len(here):
-            yield from paired(here)
-        held = rows.iloc[tail:]
+        yield from paired(rows[:, :tail][:, light[:tail]])
+        held = rows[:, tail:]
         if not big[-1]:
             over = None
-    if len(held):
-        yield from paired(held)
+    yield from paired(held)
 
 
 def _candidates(banded: DataFrame, heavy: int, tasks: int) -> DataFrame:
@@ -211,14 +305,7 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, rows: int
 
     banded = classes.select(*CLASS, "content").mapInPandas(bands_of, "key bigint, c1 bigint, c2 bigint")
     pairs = _candidates(banded, heavy, tasks or tasks_for(classes))
-    token = F.regexp_extract_all(folded(F.col("content")), F.lit(r"[\p{L}\p{N}]+"), 0)
-    bits = lambda half: F.expr(
-        f"aggregate(hashes, 0L, (acc, h) -> acc | if((shiftright(h, 7) & 1) = {half}, shiftleft(1L, cast(h & 63 as int)), 0L))"
-    )
-    maps = classes.select(*CLASS, F.transform(token, lambda w: F.xxhash64(w)).alias("hashes")).select(
-        *CLASS, F.size("hashes").alias("n"), bits(0).alias("m1"), bits(1).alias("m2")
-    )
-    side = lambda s: maps.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "m1", "m2")))
+    side = lambda s: classes.select(F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "m1", "m2")))
     apart = F.bit_count(F.col("m1_a").bitwiseXOR(F.col("m1_b"))) + F.bit_count(F.col("m2_a").bitwiseXOR(F.col("m2_b")))
     possible = (
         pairs.join(side("a"), ["a1", "a2"])

@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 #: A word is a longest run of letters or digits.
 WORD = re.compile(r"[^\W_]+")
+#: Of ASCII: letters small, blanks for what is in no word.
+_APART = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 
 
 def folded(c: Column) -> Column:
@@ -28,4 +30,6 @@ def tag_set(c: Column) -> Column:
 
 def words(text: str) -> list[str]:
     """The words of a text, folded as above."""
+    if text.isascii():  # the same, faster
+        return text.encode().translate(_APART).decode().split()
     return WORD.findall(text.lower().replace("ß", "ss"))

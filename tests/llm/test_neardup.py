@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from engramlake.llm import neardup as N
-from engramlake.llm.text import words
+from engramlake.llm.text import WORD, words
 
 
 def brute(rows):
@@ -80,3 +81,67 @@ def test_sketch_of_any_text(texts):
     for k, t in enumerate(texts):
         assert (N.sketch([t], 12)[0] == s[k]).all()
         assert bool(words(t)) == bool(np.any(s[k]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=80) | st.text(st.characters(max_codepoint=127), max_size=80))
+def test_words_are_those_of_the_pattern(text):
+    assert words(text) == WORD.findall(text.lower().replace("ß", "ss"))
+
+
+def test_words_of_many_texts_are_worked_out_once(monkeypatch):
+    r, mixed, mix = random.Random(4), [], N._mix
+    vocab = [f"word{k}" * (1 + k % 2) for k in range(60)]
+    texts = [" ".join(r.sample(vocab, 30)) for _ in range(600)]
+    first = N.sketch(texts, 192)
+    monkeypatch.setattr(N, "_mix", lambda x: (mixed.append(x.size), mix(x))[1])
+    again = N.sketch(texts, 192)
+    assert (first == again).all() and not sum(mixed)
+
+
+def test_known_words_and_others_give_the_sketch_of_all_arrivals():
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdef") for _ in range(r.randint(2, 11))) for _ in range(60)]
+    texts = [" ".join([*r.choices(vocab, k=r.randint(1, 40)), *["often"] * r.randint(0, 7), *(f"rare{r.random()}" for _ in range(r.randint(0, 4)))]) for _ in range(80)]
+    got, m = N.sketch(texts, 24), 24
+    for text, sig in zip(texts, got):
+        best, want = np.full(m, np.inf), np.zeros(m, np.uint64)
+        for w in set(words(text)):
+            seed = N.pd.util.hash_array(np.array([w], object), categorize=False)
+            weight = words(text).count(w) * min(8, max(1, len(w) - 2))
+            _, t, reg = N._next(seed, np.zeros(1), m, 2000)
+            for at, k in zip(t[0] / weight, reg[0]):
+                if at < best[k]:
+                    best[k], want[k] = at, seed[0]
+        assert (sig == want).all()
+
+
+def test_what_is_kept_is_bounded(monkeypatch):
+    known = N.Arrivals(8)
+    monkeypatch.setattr(N, "_ROW", 4)
+    for start in (0, 5, 100, 110, 0):
+        seed = np.arange(start, start + 12).astype(np.uint64) * N._STEP
+        row = known.rows(seed, np.ones(12, np.int64), np.ones(12), np.ones(12, bool))
+        assert len(known.first) == len(known.by) == len(known.row) <= 16 and (row >= 0).sum() >= 4
+        assert (known.by[row[row >= 0]] == seed[row >= 0]).all() and (known.first[row[row >= 0]] & 15 == row[row >= 0, None]).all()
+
+
+def test_classes_take_no_text_apart_twice(spark):
+    texts = ["one two three", "Two, one three", "onetwo three", "one two", None, "", "ONE TWO three!", "a a b", "a b b"]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, content string")
+    members, classes = N._classes(df, "id", "content", 2)
+    assert "regexp" not in classes._jdf.queryExecution().optimizedPlan().toString() + members._jdf.queryExecution().optimizedPlan().toString()
+    c = {r["id"]: (r["c1"], r["c2"]) for r in members.collect()}
+    assert set(c) == {"0", "1", "2", "3", "6", "7", "8"} and c["0"] == c["6"] and len(set(c.values())) == 6
+    assert c["0"][1] == c["1"][1] and c["0"][0] == c["2"][0]
+    assert {(r["c1"], r["c2"]): r["n"] for r in classes.collect()} == {c[k]: len(words(texts[int(k)])) for k in c}
+
+
+def test_hashing_rows_without_words():
+    def hashed(texts, least, whole):
+        return next(N._hashed(iter([pa.RecordBatch.from_pydict({"id": list("abc")[: len(texts)], "content": pa.array(texts, pa.string())})]), least, whole))
+
+    for whole in (True, False):
+        assert hashed([], 1, whole).num_rows == hashed([None, "?", "one"], 2, whole).num_rows == 0
+    assert hashed(["one", "", "two one"], 0, True)["n"].to_pylist() == [1, 0, 2]
+    assert hashed(["", "one", ""], 0, True)["m1"].to_pylist()[::2] == [0, 0]
